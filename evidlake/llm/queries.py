@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("near_queries", "pieces_queries", "splits_queries", "packing_queries", "leaks_queries", "subjects_queries")
+_MODULES = ("near_queries", "pieces_queries", "splits_queries", "pii_queries", "packing_queries", "leaks_queries", "subjects_queries")
 
 QUERIES: dict = {}
 SQL: dict = {}
