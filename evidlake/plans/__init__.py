@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FLAGSHIP = "p1_found"
-_MODULES = ("feeds",)
+FLAGSHIP = "hybrid_rrf"
+_MODULES = ("feeds", "searches")
 
 
 def _all(name: str) -> dict:
