@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,7 +51,7 @@ def verified(evidence: DataFrame, files: DataFrame) -> DataFrame:
     return j.withColumn("reason", reason).withColumn("status", status).drop("content", "there", "bad")
 
 
-def movable(excerpt) -> "F.Column":
+def movable(excerpt: Column) -> Column:
     """An excerpt can be looked for only if it has 64 bytes and two lines or more."""
     return (F.octet_length(excerpt) >= 64) & (F.length(excerpt) - F.length(F.replace(excerpt, F.lit("\n"), F.lit(""))) >= 1)
 

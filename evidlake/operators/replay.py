@@ -6,7 +6,7 @@ ts, is_stale, kind and payload columns. The log's order is its position; times n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -63,9 +63,10 @@ def evidence_states(events: DataFrame) -> DataFrame:
     return g.withColumn("s", F.expr(_FOLD)).filter("s is not null and s.until = 9223372036854775807").select("evidence_id", F.col("s.owner").alias("entry_id"), F.col("s.since").alias("since"))
 
 
-def evidence_status(kind: F.Column, n: F.Column) -> F.Column:
-    """present with evidence; without any, missing for kinds that need it (convention, memory), else n/a."""
-    return F.when(n > 0, "present").when(kind.isin("convention", "memory"), "missing").otherwise("n/a")
+def evidence_status(kind: Column, n: Column) -> Column:
+    """observation, belief (also a null kind) and procedure need evidence: present or missing; other kinds: n/a."""
+    needs = F.coalesce(kind, F.lit("belief")).isin("observation", "belief", "procedure")
+    return F.when(needs & (n > 0), "present").when(needs, "missing").otherwise("n/a")
 
 
 def healed(states: DataFrame, events: DataFrame) -> DataFrame:

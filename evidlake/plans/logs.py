@@ -104,7 +104,7 @@ SQL = {
         from g join e u on u.seq = lu join e f on f.seq = fu join e l on l.seq = ls left join e x on x.seq = lx""",
     "log_materialize_evidence": f"""with recursive {_MADE}, {_STATES} select z.evidence_id, z.entry_id, z.since,
         (select arg_max(new_path, seq) from m where action = 'citation_healed' and m.evidence_id = z.evidence_id and m.entry_id = z.entry_id and m.seq > z.since) as path from z""",
-    "evidence_statuses": f"""with recursive {_MADE}, {_STATES} select a.entry_id, case when n > 0 then 'present' when length(a.entry_id) % 2 = 0 then 'missing' else 'n/a' end as status
+    "evidence_statuses": f"""with recursive {_MADE}, {_STATES} select a.entry_id, case when length(a.entry_id) % 2 = 0 then 'n/a' when n > 0 then 'present' else 'missing' end as status
         from (select distinct entry_id from m) a left join (select entry_id, count(*) as n from z group by 1) c on c.entry_id = a.entry_id""",
     "log_compact": f"""with {_MADE}, g as (select entry_id, max(seq) filter (action = 'upsert') as lu, coalesce(max(seq) filter (st = 0), -1) as lk from k group by 1)
         select seq, action, m.entry_id from m join g using (entry_id) where lu > lk and ((action = 'upsert' and seq = lu) or (action in ('evidence_add', 'evidence_expire', 'citation_healed') and seq > lk))""",

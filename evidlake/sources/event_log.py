@@ -36,8 +36,6 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
                         yield pd.DataFrame(rows, columns=["segment", "byte_start", "byte_end", "raw", "torn"])
                         rows = []
                 yield pd.DataFrame(rows, columns=["segment", "byte_start", "byte_end", "raw", "torn"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["segment", "byte_start", "byte_end", "raw", "torn"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(split, LINES)
 
