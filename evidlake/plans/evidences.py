@@ -11,25 +11,28 @@ from evidlake.session import table
 
 #: The given evidence cites files nobody has, so files and citations are made from documents:
 #: document n is docs/n.md; its citation is whole, a range, broken or escaping by n modulo 8.
-_N = F.col("doc_id")
+
+
+def _n():
+    return F.col("doc_id")
 
 
 def files(spark, sf):
-    return table(spark, sf, "documents").filter("text is not null").select(F.concat(F.lit("docs/"), _N.cast("string"), F.lit(".md")).alias("file"), F.encode("text", "UTF-8").alias("content"), "text")
+    return table(spark, sf, "documents").filter("text is not null").select(F.concat(F.lit("docs/"), _n().cast("string"), F.lit(".md")).alias("file"), F.encode("text", "UTF-8").alias("content"), "text")
 
 
 def made_evidence(spark, sf):
     t = table(spark, sf, "documents").filter("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("b"))
     size = F.length("b").cast("bigint")
-    path = F.concat(F.lit("docs/"), _N.cast("string"), F.lit(".md"))
-    m = _N % 8
+    path = F.concat(F.lit("docs/"), _n().cast("string"), F.lit(".md"))
+    m = _n() % 8
     cite = (
         F.when(m == 0, F.concat(path, F.lit(":0-"), size.cast("string"))).when(m == 1, F.concat(path, F.lit(":10-90"))).when(m == 2, F.concat(path, F.lit(":90-10")))
-        .when(m == 3, F.concat(F.lit("../"), path)).when(m == 4, F.concat(path, F.lit("x"))).when((m == 5) & (_N % 3 == 0), F.lit(None)).when(m == 6, F.concat(path, F.lit(":0-"), (size + 5).cast("string"))).otherwise(path)
+        .when(m == 3, F.concat(F.lit("../"), path)).when(m == 4, F.concat(path, F.lit("x"))).when((m == 5) & (_n() % 3 == 0), F.lit(None)).when(m == 6, F.concat(path, F.lit(":0-"), (size + 5).cast("string"))).otherwise(path)
     )
     h = F.when(m == 1, F.sha2(c.sliced(F.col("b"), F.lit(10), F.lit(90)), 256)).otherwise(F.sha2("b", 256))
-    h = F.when(_N % 5 == 0, F.concat(F.lit("sha256:"), F.upper(h))).when(_N % 11 == 0, F.lit("00")).otherwise(h)
-    return t.select(F.concat(F.lit("ev"), _N.cast("string")).alias("id"), F.concat(F.lit("en"), (_N % 97).cast("string")).alias("entry_id"), F.when(_N % 13 == 0, "test").otherwise("code").alias("kind"), cite.alias("citation_path"), h.alias("citation_hash"))
+    h = F.when(_n() % 5 == 0, F.concat(F.lit("sha256:"), F.upper(h))).when(_n() % 11 == 0, F.lit("00")).otherwise(h)
+    return t.select(F.concat(F.lit("ev"), _n().cast("string")).alias("id"), F.concat(F.lit("en"), (_n() % 97).cast("string")).alias("entry_id"), F.when(_n() % 13 == 0, "test").otherwise("code").alias("kind"), cite.alias("citation_path"), h.alias("citation_hash"))
 
 
 def parse(spark, sf):

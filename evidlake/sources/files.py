@@ -19,7 +19,7 @@ PEER = "source_repo string, target_repo string, graph_type string, epic_slug str
 def _tags(raw: Column) -> Column:
     """A JSON array of strings, or text separated by commas."""
     listed = F.from_json(raw, "array<string>")
-    return F.coalesce(listed, F.filter(F.transform(F.split(raw, ","), F.trim), lambda t: t != ""), F.array().cast("array<string>"))
+    return F.coalesce(listed, F.filter(F.transform(F.split(raw, ","), lambda t: F.trim(t)), lambda t: t != ""), F.array().cast("array<string>"))
 
 
 def seeds(spark: SparkSession, path: str, stamps: DataFrame | None = None, content_cap: int = 9500) -> DataFrame:
