@@ -32,8 +32,7 @@ def encoding(path: str = TOKENIZER):
 
 
 def token_counts(df: DataFrame, key: str, text: str, path: str = TOKENIZER) -> DataFrame:
-    """key, n_tokens of whole texts; null and empty texts have none. Special tokens' strings are ordinary text."""
-    kind = dict(df.dtypes)[key]
+    """key (as text), n_tokens of whole texts; null and empty texts have none. Special tokens' strings are ordinary text."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(path)
@@ -41,7 +40,8 @@ def token_counts(df: DataFrame, key: str, text: str, path: str = TOKENIZER) -> D
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["text"]]
             yield pd.DataFrame({"key": pdf["key"], "n_tokens": n})
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(count, f"key {kind}, n_tokens bigint")
+    # As text, so that null keys don't turn the others into floats.
+    return df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(count, "key string, n_tokens bigint")
 
 
 class Bins:
@@ -162,27 +162,27 @@ def containers(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, pat
 
     Only a text of more than ``capacity`` tokens is cut, into full pieces and a rest. Full pieces have a
     container each; everything else is packed in shards of about ``shard`` items by hash, so no task grows
-    with the data and no key can make a shard hot. Null and empty texts have no tokens and lie in a
-    container of their shard at no cost. Keys should be unique: repeated rows are packed as often as they come.
+    with the data. Null and empty texts have no tokens and lie in a
+    container of their shard at no cost. Null keys are kept; repeated rows are packed as often as they come,
+    and a repeated key spreads over the shards, as rows are dealt by a number of their own.
     """
-    sizes = written(token_counts(df, key, text, path), "sizes")
+    sizes = written(token_counts(df, key, text, path).withColumn("row", F.monotonically_increasing_id()), "sizes")
     n_shards = max(1, -(-sizes.count() // shard))
-    kind = dict(sizes.dtypes)["key"]
     n = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity)).cast("int")
     pieces = (
         sizes.withColumn("n_pieces", n)
         .withColumn("piece_no", F.explode(F.sequence(F.lit(1), F.col("n_pieces"))))
         .withColumn("first_token", (F.col("piece_no") - 1) * F.lit(capacity).cast("bigint"))
         .withColumn("n_tokens", F.least(F.col("n_tokens") - F.col("first_token"), F.lit(capacity)).cast("bigint"))
-        .withColumn("shard", F.pmod(F.xxhash64("key", "piece_no"), F.lit(n_shards)))
+        .withColumn("shard", F.pmod(F.xxhash64("row", "piece_no"), F.lit(n_shards)))
     )
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "key", "piece_no"], kind="stable").reset_index(drop=True)
-        return pdf.drop(columns="shard").assign(container_id=pdf["shard"] * (1 << 32) + pd.Series(pack_sizes(pdf["n_tokens"].tolist(), capacity), dtype="int64"))
+        return pdf.drop(columns=["shard", "row"]).assign(container_id=pdf["shard"] * (1 << 32) + pd.Series(pack_sizes(pdf["n_tokens"].tolist(), capacity), dtype="int64"))
 
-    out = pieces.groupBy("shard").applyInPandas(pack, f"key {kind}, n_tokens bigint, n_pieces int, piece_no int, first_token bigint, container_id bigint")
-    return out.select(F.col("key").alias(key), "piece_no", "n_pieces", "first_token", "n_tokens", "container_id")
+    out = pieces.groupBy("shard").applyInPandas(pack, "key string, n_tokens bigint, n_pieces int, piece_no int, first_token bigint, container_id bigint")
+    return out.select(F.col("key").cast(dict(df.dtypes)[key]).alias(key), "piece_no", "n_pieces", "first_token", "n_tokens", "container_id")
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

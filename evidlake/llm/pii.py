@@ -14,6 +14,7 @@ from functools import cache
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 TYPES = ("email", "phone", "id_number", "address", "person")
 
@@ -193,7 +194,7 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
 
 def masked(text: str | None) -> str | None:
     """The text with a typed placeholder, such as [EMAIL], for each mention and otherwise unchanged."""
-    if not text:
+    if not isinstance(text, str) or not text:
         return text
     parts, to = [], 0
     for a, b, kind in find_pii(text):
@@ -226,10 +227,10 @@ def pii_mentions(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 
 def mask_columns(df: DataFrame, fields: list[str]) -> DataFrame:
-    """df with the fields' mentions replaced by placeholders; every other column stays as it is."""
+    """df with the fields' mentions replaced by placeholders; every other column stays in the JVM as it is."""
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(**{f: [masked(t) for t in pdf[f]] for f in fields})
+    @F.pandas_udf("string")
+    def mask(texts: pd.Series) -> pd.Series:
+        return texts.map(masked)
 
-    return df.mapInPandas(make, df.schema)
+    return df.withColumns({f: mask(F.col(f)) for f in fields})

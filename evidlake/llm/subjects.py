@@ -61,7 +61,7 @@ def tokens(documents: DataFrame) -> DataFrame:
                     docs.append(d)
             yield pd.DataFrame({"doc_id": docs, "ids": ids})
 
-    return documents.select("doc_id", "text").mapInPandas(make, "doc_id bigint, ids binary")
+    return documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(make, "doc_id bigint, ids binary")
 
 
 @dataclass
@@ -212,7 +212,7 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
     """doc_id, subject, share (of the document's sentences that treat it), posterior (calibrated), for shares above 0.
 
     documents: doc_id, text; subjects: subject; labels: doc_id, subject (noisy ones are fine; unknown subjects,
-    nulls and repeated rows don't count). Null and blank texts have no rows. Without labels or subjects
+    nulls and repeated rows don't count). Null ids and null or blank texts have no rows. Without labels or subjects
     the result is empty; a subject without any label is never assigned. Repeated doc_ids come out once
     per row; other columns are ignored. Texts are read whole and tokenized once; all statistics but the
     first model's are of all documents.
