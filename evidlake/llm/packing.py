@@ -118,29 +118,32 @@ class Bins:
         return bool(how)
 
     def search(self, tries: int = 64) -> None:
-        """Empties the least filled containers into fuller ones, until ``tries`` of them in a row can't be
-        emptied or no fewer containers could hold the items. Ends, as each exchange raises the sum of squares."""
-        least, failed = -(-sum(self.sizes) // self.capacity), set()
-        while len(self.items) > max(1, least) and len(failed) < tries:
-            low = min((b for b in range(len(self.fill)) if b not in failed), key=lambda b: (self.fill[b], b), default=None)
+        """Empties the least filled container into fuller ones, until ``tries`` in a row weren't emptied, no
+        exchange is left or no fewer containers could hold the items. Each exchange raises the sum of squares."""
+        least, stuck, settled = -(-sum(self.sizes) // self.capacity), 0, set()
+        while len(self.items) > max(1, least) and stuck < tries:
+            low = min((b for b in range(len(self.fill)) if b not in settled), key=lambda b: (self.fill[b], b), default=None)
             if low is None:
                 return
-            again = True
+            again, moved = True, False
             while again and self.items[low]:
                 again = False
                 for b in sorted((b for b in range(len(self.fill)) if b != low and self.fill[low] <= self.fill[b] < self.capacity), key=lambda b: -self.fill[b]):
                     while self.items[low] and self.fill[low] <= self.fill[b] < self.capacity and self._improve(low, b):
-                        again = True
+                        again = moved = True
                     if not self.items[low]:
                         break
+            if moved:
+                settled.clear()
             if self.items[low]:
-                failed.add(low)
+                settled.add(low)
+                stuck += 1
                 continue
             last = len(self.items) - 1
             self.items[low], self.fill[low] = self.items[last], self.fill[last]
             self.items.pop()
             self.fill.pop()
-            failed.clear()
+            stuck = 0
 
 
 def pack_sizes(sizes: list[int], capacity: int = CAPACITY) -> list[int]:
