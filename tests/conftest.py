@@ -6,16 +6,16 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
 def spark():
-    from evidlake.session import local_session
+    from evidlake.session import local_session, ship
 
     s = local_session(8, 4)
     s.sparkContext.setLogLevel("OFF")
+    ship(s)
     yield s
     s.stop()
 
