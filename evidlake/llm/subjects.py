@@ -26,7 +26,7 @@ BUCKETS = 1 << 22
 #: At most so many labelled documents train the first model (those with the least hash of doc_id).
 MAX_LABELLED = 20_000
 #: EM rounds over the whole corpus.
-ROUNDS = 2
+ROUNDS = 3
 #: Log odds of a sentence that treats no subject.
 NONE = 1.5
 #: A word counts if at least this share of its (rate-corrected) occurrences, shrunk by so many, lies in one subject.
@@ -108,34 +108,37 @@ class Model:
 
     @staticmethod
     def fit(counts: DataFrame, n_subjects: int) -> Model:
-        """From (word, n, c0, c1, ...): n is how often a word was seen (by document or by sentence), c its
-        expected occurrences by subject. Words are gated by the JVM; only those that pass come to the driver."""
+        """From (word, n, b, c0, c1, ...): n is how often a word was seen (by document or by sentence), c its
+        expected occurrences by subject, b those in sentences of none. A word that is as common in sentences
+        of no subject says nothing, even if of all subjects only one uses it. Words are gated by the JVM;
+        only those that pass come to the driver."""
         names = [f"c{k}" for k in range(n_subjects)]
-        total = counts.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0.0)) for c in names]).first()
-        size, by = max(1, total[0]), np.array(total[1:], float)
+        total = counts.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0.0)) for c in ["b", *names]]).first()
+        size, none, by = max(1, total[0]), float(total[1]), np.array(total[2:], float)
         rate = [F.col(c) / float(max(b, 1e-9)) for c, b in zip(names, by, strict=True)]
         share = F.greatest(*rate) / sum(rate[1:], rate[0]) if n_subjects > 1 else F.lit(1.0)
+        own = sum((F.col(c) for c in names[1:]), F.col(names[0]))
         rows = (
-            counts.filter(sum((F.col(c) for c in names[1:]), F.col(names[0])) > 0)
-            .filter((share * F.col("n") + 0.5) / (F.col("n") + SHRINK) >= GATE)
-            .select("word", *names)
+            counts.filter(own > 0)
+            .filter((share * own / (own + F.col("b")) * F.col("n") + 0.5) / (F.col("n") + SHRINK) >= GATE)
+            .select("word", "b", *names)
             .toPandas()
             .sort_values("word")
         )
         c = rows[names].to_numpy(float)
-        a, rest = 0.5, by.sum() - by
+        a, rest = 0.5, by.sum() - by + none
         inside = (c + a) / (by + a * size)
-        outside = (c.sum(1, keepdims=True) - c + a * max(1, n_subjects - 1)) / (rest + a * max(1, n_subjects - 1) * size)
+        outside = (rows[["b"]].to_numpy(float) + c.sum(1, keepdims=True) - c + a * max(1, n_subjects - 1)) / (rest + a * max(1, n_subjects - 1) * size)
         return Model(rows["word"].to_numpy(np.int32), np.log(inside / outside))
 
 
 def _summed(df: DataFrame, n_subjects: int, name: str) -> DataFrame:
-    names = ["n", *(f"c{k}" for k in range(n_subjects))]
+    names = ["n", "b", *(f"c{k}" for k in range(n_subjects))]
     return written(df.groupBy("word").agg(*[F.sum(c).alias(c) for c in names]), name)
 
 
 def _counts_ddl(n: int) -> str:
-    return "word int, n double, " + ", ".join(f"c{k} double" for k in range(n))
+    return "word int, n double, b double, " + ", ".join(f"c{k} double" for k in range(n))
 
 
 def _labelled_counts(feats: DataFrame, n: int) -> DataFrame:
@@ -152,7 +155,7 @@ def _labelled_counts(feats: DataFrame, n: int) -> DataFrame:
             c = {f"c{k}": np.bincount(inv, of[doc, k], len(words)) for k in range(n)}
             pairs = np.unique(inv.astype(np.int64) * max(1, len(df)) + doc)
             seen = np.bincount(pairs // max(1, len(df)), minlength=len(words))
-            yield pd.DataFrame({"word": words, "n": seen.astype(float), **c})
+            yield pd.DataFrame({"word": words, "n": seen.astype(float), "b": 0.0, **c})
 
     return _summed(feats.select("ids", "labels").mapInPandas(count, _counts_ddl(n)), n, "labelled")
 
@@ -167,11 +170,11 @@ def _expected_counts(feats: DataFrame, shared, n: int) -> DataFrame:
             top = np.maximum(s.max(axis=1, initial=NONE), NONE)[:, None]
             e = np.exp(s - top)
             e /= e.sum(axis=1, keepdims=True) + np.exp(NONE - top)
-            ok = (e.max(axis=1, initial=0) > 0.5)[f.sentence] if len(f.word) else np.zeros(0, bool)
-            words, inv = np.unique(f.word[ok], return_inverse=True)
-            e = e[f.sentence[ok]]
-            c = {f"c{k}": np.bincount(inv, e[:, k], len(words)) for k in range(n)}
-            yield pd.DataFrame({"word": words, "n": np.bincount(inv, minlength=len(words)).astype(float), **c})
+            words, inv = np.unique(f.word, return_inverse=True)
+            c = {f"c{k}": np.bincount(inv, e[f.sentence, k], len(words)) for k in range(n)}
+            seen = np.bincount(inv, minlength=len(words)).astype(float)
+            none = np.bincount(inv, np.maximum(0.0, 1 - e.sum(axis=1))[f.sentence], len(words))
+            yield pd.DataFrame({"word": words, "n": seen, "b": none, **c})
 
     return _summed(feats.select("ids").mapInPandas(count, _counts_ddl(n)), n, "expected")
 
