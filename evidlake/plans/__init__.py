@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "hybrid_rrf"
-_MODULES = ("feeds", "searches", "evidences", "audits", "logs", "texts", "windows")
+_MODULES = ("feeds", "searches", "evidences", "audits", "logs", "texts", "windows", "writes")
 
 
 def _all(name: str) -> dict:
