@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidlake.operators.blocks import last_before, next_after, ordinal
+
 
 def entry_states(events: DataFrame, payload: list[str]) -> DataFrame:
     """entry_id, is_stale, created_at, updated_at and payload, per entry ever upserted.
@@ -35,11 +37,9 @@ def _liveness(events: DataFrame) -> DataFrame:
     """Evidence events with ``live`` (parent live just before) and ``until`` (the parent's next kill, or none)."""
     up, ex = F.col("action") == "upsert", F.col("action") == "expire"
     kill = ex | (up & F.coalesce("is_stale", F.lit(False)))
-    before = W.partitionBy("entry_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy("entry_id").orderBy("seq").rowsBetween(1, W.unboundedFollowing)
     state = F.when(up & ~F.coalesce("is_stale", F.lit(False)), True).when(kill, False)
-    e = events.withColumn("live", F.coalesce(F.last(state, ignorenulls=True).over(before), F.lit(False)))
-    return e.withColumn("until", F.min(F.when(kill, F.col("seq"))).over(after)).filter(F.col("action").isin("evidence_add", "evidence_expire"))
+    e = next_after(last_before(events, "entry_id", "seq", state, "live"), "entry_id", "seq", F.coalesce(kill, F.lit(False)), "until")
+    return e.withColumn("live", F.coalesce("live", F.lit(False))).filter(F.col("action").isin("evidence_add", "evidence_expire"))
 
 
 _STATE = "cast(null as struct<owner:string, since:bigint, until:bigint>)"
@@ -92,8 +92,8 @@ def run_keys(runs: DataFrame) -> DataFrame:
     parts = F.concat_ws("\0", *[F.coalesce(c, F.lit("")) for c in ("test_id", "result", "detail", "ts")])
     h = F.sha2(parts, 256)
     r = runs.withColumn("h", F.when(F.col("run_id").isNull(), h))
-    nth = F.row_number().over(W.partitionBy("h").orderBy("seq")) - 1
-    legacy = r.filter("run_id is null").withColumn("run_id", F.concat(F.lit("legacy:"), "h", F.lit(":"), nth.cast("string")))
+    legacy = ordinal(r.filter("run_id is null"), "h", "seq", "nth")
+    legacy = legacy.withColumn("run_id", F.concat(F.lit("legacy:"), "h", F.lit(":"), F.col("nth").cast("string")))
     named = r.filter("run_id is not null").groupBy("run_id").agg(F.min_by(F.struct("seq", "test_id", "result"), "seq").alias("x")).select("run_id", "x.*")
     return named.unionByName(legacy.select("run_id", "seq", "test_id", "result"))
 

@@ -124,6 +124,15 @@ def similarities(vectors: DataFrame, queries: DataFrame, k: int | None = None) -
     return vectors.select("id", "embedding").mapInPandas(score, f"qid {kinds[0]}, id {kinds[1]}, score double")
 
 
+def ranks_of(candidates: DataFrame, scored: DataFrame) -> DataFrame:
+    """candidates (qid, id, score) -> qid, id, rank among all of ``scored`` (qid, id, score), by counting what is
+    before them; no query's scores are ever sorted or brought together. Candidates are few per query."""
+    c = bounded(candidates.select("qid", F.col("id").alias("_id"), F.col("score").alias("_score")))
+    before = (F.col("score") > F.col("_score")) | ((F.col("score") == F.col("_score")) & (F.col("id") < F.col("_id")))
+    n = scored.join(c, "qid").groupBy("qid", "_id").agg(F.count_if(before).alias("n"))
+    return n.select("qid", F.col("_id").alias("id"), (F.col("n") + 1).alias("rank"))
+
+
 def best_cue(cue_scores: DataFrame) -> DataFrame:
     """(qid, id, cue, score) -> the best cue per entry: score descending, then cue text."""
     w = W.partitionBy("qid", "id").orderBy(F.desc("score"), "cue")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidlake.operators import search as s
 from evidlake.plans import domain as d
-from evidlake.session import table
+from evidlake.session import table, written
 
 LIMIT = 10
 #: The fixed text queries: single words, several, a phrase by hyphen, one without any hit.
@@ -55,14 +55,18 @@ def fts_ties(spark, sf):
 
 
 def _lanes(spark, sf):
-    q = d.doc_queries(spark, sf)
-    text = s.full_text(_docs(spark, sf), q.select("qid", "query")).withColumn("score", F.round("score", 9))
-    sem = s.similarities(d.live_vectors(spark, sf), q.select("qid", "embedding")).withColumn("score", F.round("score", 9))
-    c = d.cues(spark, sf)
-    cue = s.similarities(c.select("id", "embedding"), q.select("qid", "embedding")).join(c.select("id", "cue", "entry"), "id")
-    cue = cue.select("qid", F.col("entry").alias("id"), "cue", F.round("score", 9).alias("score"))
-    cue = cue.join(_docs(spark, sf).select("id"), "id", "left_semi")
-    return s.ranked(text, ["qid"], "score", LIMIT), s.ranked(sem, ["qid"], "score", None), s.ranked(s.best_cue(cue), ["qid"], "score", 2 * LIMIT)
+    """The text, semantic and cue lane; what several of them or the fusion read is written once."""
+    q = written(d.doc_queries(spark, sf), "queries")
+    vectors, docs, c = d.live_vectors(spark, sf), _docs(spark, sf), d.cues(spark, sf)
+    of = lambda v, k=None: s.similarities(v, q.select("qid", "embedding"), k).withColumn("score", F.round("score", 9))
+    text = s.full_text(docs, q.select("qid", "query")).withColumn("score", F.round("score", 9))
+    text = written(s.ranked(text, ["qid"], "score", LIMIT), "text")
+    cue = of(c.select("id", "embedding")).join(c.select("id", "cue", "entry"), "id").select("qid", F.col("entry").alias("id"), "cue", "score")
+    cue = written(s.ranked(s.best_cue(cue.join(docs.select("id"), "id", "left_semi")), ["qid"], "score", 2 * LIMIT), "cues")
+    top = s.ranked(of(vectors, 2 * LIMIT), ["qid"], "score", 2 * LIMIT)
+    ids = written(text.select("qid", "id").unionByName(cue.select("qid", "id")).unionByName(top.select("qid", "id")).distinct(), "ids")
+    own = of(vectors.join(ids.select("id").distinct(), "id", "left_semi")).join(ids, ["qid", "id"], "left_semi")
+    return text, s.ranks_of(written(own, "candidates"), of(vectors)), cue
 
 
 def cue_lane(spark, sf):
