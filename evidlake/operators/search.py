@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidlake.session import written
+
 K1, B = 1.2, 0.75
 #: Query vectors in one broadcast; more are taken in blocks, each of which reads the vectors once.
 QUERY_BLOCK = 4096
@@ -68,6 +70,7 @@ def full_text(docs: DataFrame, queries: DataFrame) -> DataFrame:
         .filter("m = n")
         .groupBy("qid", "term", "id", "len").agg(F.count("*").alias("tf"))
     )
+    hits = written(hits, "hits")  # small, and read twice
     df = hits.groupBy("qid", "term").agg(F.count("*").alias("df"))
     need = q.groupBy("qid").agg(F.countDistinct("term").alias("n_terms"))
     tf, n, d = F.col("tf"), F.col("n_docs"), F.col("df")

@@ -68,3 +68,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with far fewer splits than cores (one small file, say), dealt to all cores before costly work on
+    texts. Any input of a size that matters has enough splits and is not shuffled."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() * 3 <= want else df
