@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evidlake.llm.near import NearDuplicates, entry_texts
-from evidlake.session import table
+from evidlake.session import spread, table
 
 #: As the problem is stated for this data: runs of three words, half of them shared.
 WIDTH, LEAST = 3, 0.5
 
 
 def _near(spark: SparkSession, sf: str) -> NearDuplicates:
-    return NearDuplicates(entry_texts(table(spark, sf, "entry_adds")), WIDTH, LEAST)
+    return NearDuplicates(entry_texts(spread(table(spark, sf, "entry_adds").select("id", "summary", "content"))), WIDTH, LEAST)
 
 
 def found(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evidlake.llm.packing import containers, fill_report
-from evidlake.session import table
+from evidlake.session import spread, table
 
 
 def packed(spark: SparkSession, sf: str) -> DataFrame:
-    return containers(table(spark, sf, "documents"), "doc_id", "text")
+    return containers(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def report(spark: SparkSession, sf: str) -> DataFrame:

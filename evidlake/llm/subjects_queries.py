@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidlake.llm.subjects import LEAST_SHARE, composition, document_subjects
-from evidlake.session import table
+from evidlake.session import spread, table
 
 
 def _all(spark: SparkSession, sf: str) -> DataFrame:
-    return document_subjects(*(table(spark, sf, t) for t in ("documents", "subjects", "doc_labels")))
+    return document_subjects(spread(table(spark, sf, "documents").select("doc_id", "text")), table(spark, sf, "subjects"), table(spark, sf, "doc_labels"))
 
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
