@@ -60,11 +60,12 @@ def full_text(docs: DataFrame, queries: DataFrame) -> DataFrame:
     Implicit AND of phrases; Okapi BM25 (k1 1.2, b 0.75) with ln(1 + (N - df + 0.5) / (df + 0.5)). The
     query tokens are broadcast if their number is bounded, so only occurrences of them are shuffled. Null texts count as empty.
     """
-    t = docs.select("id", tokens(F.coalesce("text", F.lit(""))).alias("toks"))
-    stats = t.agg(F.count("*").alias("n_docs"), F.avg(F.size("toks")).alias("avg_len"))
+    # The length is a column of its own, so that exploded rows carry it and not the tokens.
+    t = docs.select("id", tokens(F.coalesce("text", F.lit(""))).alias("toks")).withColumn("len", F.size("toks"))
+    stats = t.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     q = bounded(phrases(queries))
     hits = (
-        t.select("id", F.size("toks").alias("len"), F.posexplode("toks").alias("pos", "token"))
+        t.select("id", "len", F.posexplode("toks").alias("pos", "token"))
         .join(q, "token")
         .groupBy("qid", "term", "n", "id", "len", (F.col("pos") - F.col("j")).alias("start")).agg(F.countDistinct("j").alias("m"))
         .filter("m = n")
@@ -94,8 +95,8 @@ def similarities(vectors: DataFrame, queries: DataFrame, k: int | None = None) -
     0 for vectors of another length, with non-finite values or of norm 0; rows stay. Query vectors go out in
     blocks of QUERY_BLOCK; with k, each batch keeps its own first k per query before anything is shuffled.
     """
-    ids = queries.select("qid", "embedding").orderBy("qid").collect() if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK else None
-    if ids is None:
+    ids = queries.select("qid", "embedding").limit(QUERY_BLOCK + 1).collect()
+    if len(ids) > QUERY_BLOCK:
         parts = queries.withColumn("b", F.pmod(F.xxhash64("qid"), F.lit(-(-queries.count() // (QUERY_BLOCK // 2)))))
         out = None
         for r in parts.select("b").distinct().collect():
