@@ -44,8 +44,8 @@ def confidence(spark, sf):
 
 
 def sample(spark, sf):
-    """Invariants of a sample of 20: size per arm, all distinct, all live with evidence."""
-    smp = a.audit_sample(d.entries(spark, sf), table(spark, sf, "hits"), 20, True, 7)
+    """Invariants of a sample of 4: size per arm, all distinct, all live with evidence."""
+    smp = a.audit_sample(d.entries(spark, sf), table(spark, sf, "hits"), 4, True, 7)
     ok = d.entries(spark, sf).filter("not is_stale and evidence_status = 'present'").select("id")
     return smp.join(ok, "id", "left_semi").groupBy("arm").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_distinct"))
 
@@ -146,7 +146,7 @@ SQL = {
     "source_weights": f"with {d.SQL_ENTRY}, {_V}, {_SW} select * from sw",
     "source_confidence": f"""with {d.SQL_ENTRY}, {_V}, {_SW} select e.id, round((coalesce(successes, 0) + 1)::double / (coalesce(successes, 0) + coalesce(failures, 0) + 2), 6) as confidence,
         coalesce(successes, 0) + coalesce(failures, 0) as audit_n from e left join sw on sw.kind = e.kind and sw.session_id = coalesce(e.session_id, '__GLOBAL__') where not is_stale""",
-    "audit_sample": f"with {d.SQL_ENTRY} select arm, 10 as n, 10 as n_distinct from (values ('uniform'), ('traffic')) x(arm)",
+    "audit_sample": f"with {d.SQL_ENTRY} select arm, 2 as n, 2 as n_distinct from (values ('uniform'), ('traffic')) x(arm)",
     "audit_record_validate": f"""with {d.SQL_ENTRY}, {_V}, kn as (select run_id, entry_id, bool_or(verdict) as was from vd where row_id % 5 = 0 group by 1, 2),
         cd as (select distinct run_id, entry_id from vd where row_id % 7 <> 0), j as (select vd.*, permanent, e.id as known, cd.run_id as cand, was,
         count(*) filter (verdict) over (partition by vd.run_id, vd.entry_id) > 0 and count(*) filter (not verdict) over (partition by vd.run_id, vd.entry_id) > 0 as both_
