@@ -117,17 +117,35 @@ def healable(evidence: DataFrame, files: DataFrame) -> DataFrame:
     return j.select("id", F.split_part(outcome, F.lit(":"), F.lit(1)).alias("outcome"), F.nullif(F.split_part(outcome, F.lit(":"), F.lit(2)), F.lit("")).alias("reason"), F.when(outcome == "would_heal:", F.col("file")).alias("new_path"))
 
 
-def stale_by_commits(entries: DataFrame, changed: DataFrame, commits: DataFrame) -> DataFrame:
+def _touched(paths: DataFrame, changed: DataFrame, block: int) -> DataFrame:
+    """The paths (path, distinct) that hold a changed file (file) or end one, all files compared.
+
+    Ends: the suffixes of the files are joined with the paths. Holds: the parts of a path that are as long as some
+    file are looked up among the files, which are broadcast in blocks of ``block``; no part is shuffled.
+    """
+    f = changed.select("file").filter("file is not null").distinct()
+    about = f.agg(F.count("*").alias("n"), F.collect_set(F.length("file")).alias("lengths")).first()
+    suffixes = f.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("file") + 1), lambda i: F.substr("file", i))).alias("path"))
+    out = paths.join(suffixes, "path", "left_semi")
+    long = F.explode(F.array(*map(F.lit, sorted(about.lengths))).cast("array<int>"))
+    parts = paths.select("path", long.alias("len")).filter(F.col("len") <= F.length("path"))
+    parts = parts.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.length("path") - F.col("len") + 1), lambda i: F.substr("path", i, F.col("len")))).alias("file"))
+    blocks = -(-about.n // block)
+    for b in range(blocks):
+        part = f.filter(F.pmod(F.xxhash64("file"), F.lit(blocks)) == b) if blocks > 1 else f
+        out = out.unionByName(parts.join(F.broadcast(part), "file", "left_semi").select("path"))
+    return out.distinct()
+
+
+def stale_by_commits(entries: DataFrame, changed: DataFrame, commits: DataFrame, block: int = 100_000) -> DataFrame:
     """entries (id, path, version_ref) for changed files (file) and commits (sha, ord, file).
 
     An entry surfaces if its path is a changed file, holds one or ends one. Its version_ref unknown: unreachable;
-    commits to its path after it: stale with their count; else fresh. First bucket wins. The exact matches are
-    an equi-join; the rest compares each entry with the changed files, a set the caller lists.
+    commits to its path after it: stale with their count; else fresh. First bucket wins. Any number of files may
+    have changed; they go out in blocks of ``block``.
     """
-    exact = entries.join(changed.select(F.col("file").alias("path")).distinct(), "path", "left_semi").select("id")
-    few = F.broadcast(changed.select("file").distinct().limit(10_000))
-    near = entries.join(few, F.col("path").contains(F.col("file")) | F.endswith("file", "path"), "left_semi").select("id")
-    seen = entries.join(exact.unionByName(near).distinct(), "id", "left_semi")
+    paths = entries.select("path").filter("path is not null").distinct()
+    seen = entries.join(_touched(paths, changed, block), "path", "left_semi")
     refs = commits.groupBy("sha").agg(F.min("ord").alias("ref_ord"))
     j = seen.join(refs.withColumnRenamed("sha", "version_ref"), "version_ref", "left")
     later = j.join(commits.select(F.col("file").alias("path"), "ord", "sha").distinct(), "path", "left").groupBy("id", "ref_ord").agg(F.countDistinct(F.when(F.col("ord") > F.col("ref_ord"), F.col("sha"))).alias("n_commits"))
