@@ -83,15 +83,25 @@ def heal(spark, sf):
     return ev.healable(made_evidence(spark, sf), files(spark, sf))
 
 
-def stale(spark, sf):
+def _stale(spark, sf, orders):
     """Orders are entries (path: customer, version_ref: order) and line items are commits to them, by ship date."""
-    e = table(spark, sf, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("c/"), F.col("o_custkey").cast("string")).alias("path"), F.col("o_orderkey").cast("string").alias("version_ref"))
+    e = orders.select(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("c/"), F.col("o_custkey").cast("string")).alias("path"), F.col("o_orderkey").cast("string").alias("version_ref"))
     li = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     cm = li.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").cast("string").alias("sha"), F.unix_micros(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").cast("timestamp")).alias("ord"), F.concat(F.lit("c/"), F.col("o_custkey").cast("string")).alias("file")).distinct()
     ch = spark.range(1, 40).select(F.concat(F.lit("c/"), (F.col("id") * 7).cast("string")).alias("file"))
     return ev.stale_by_commits(e, ch, cm)
 
 
+def stale(spark, sf):
+    """One order of 50, as its SQL has it."""
+    return _stale(spark, sf, table(spark, sf, "orders").filter("o_orderkey % 50 = 0"))
+
+
+def stale_all(spark, sf):
+    """Every order is an entry."""
+    return _stale(spark, sf, table(spark, sf, "orders"))
+
+
 def review(spark, sf):
     """Entries made at a version that some live memory entry was made at."""
     e = d.entries(spark, sf)
@@ -100,7 +110,7 @@ def review(spark, sf):
 
 QUERIES = {
     "citation_parse": parse, "citation_budget": budget, "evidence_cap_per_entry": cap, "entry_get": get, "verify_evidence": verify, "cite_files": cite,
-    "cited_by": cited, "relocate_excerpt": relocate, "migrate_citations": heal, "stale_check_commits": stale, "stale_check_refs": review,
+    "cited_by": cited, "relocate_excerpt": relocate, "migrate_citations": heal, "stale_check_commits": stale, "stale_check_commits_all": stale_all, "stale_check_refs": review,
 }
 _PARSE = r"""case when citation_path is null then 'missing_path' when contains(citation_path, ':') and not coalesce(regexp_matches(citation_path, ':\d{1,18}-\d{1,18}$') and
   try_cast(regexp_extract(citation_path, ':(\d+)-\d+$', 1) as bigint) < try_cast(regexp_extract(citation_path, '-(\d+)$', 1) as bigint), false) then 'malformed_range' end"""

@@ -37,3 +37,16 @@ def test_stale_against_all_pairs(spark):
         entries = [(str(i), None if i == 3 else word(7), f"s{rnd.randint(0, 9)}") for i in range(80)]
         commits = [(f"s{rnd.randint(0, 7)}", rnd.randint(0, 9), word(3)) for _ in range(90)]
         assert run(spark, entries, changed, commits, block=4) == brute(entries, changed, commits)
+
+
+def test_every_order_is_an_entry(spark, sf):
+    from evidlake.plans import evidences
+    from evidlake.session import table
+
+    orders = [(r.o_orderkey, f"c/{r.o_custkey}", r.o_orderdate) for r in table(spark, sf, "orders").collect()]
+    lines = {r.l_orderkey for r in table(spark, sf, "lineitem").select("l_orderkey").collect()}
+    entries = [(str(k), p, str(k)) for k, p, _ in orders]
+    commits = [(str(k), int(at.timestamp()), p) for k, p, at in orders if k in lines and k % 3]
+    want = brute(entries, [f"c/{7 * i}" for i in range(1, 40)], commits)
+    got = [(r.id, r.bucket, r.n_commits) for r in evidences.QUERIES["stale_check_commits_all"](spark, sf).collect()]
+    assert sorted(got) == sorted((i, b, n) for i, (b, n) in want.items()) and any(int(i) % 50 for i in want)
