@@ -256,13 +256,22 @@ def context_candidates(entries: DataFrame, evidence: DataFrame, files: list[str]
 
 
 def context_pack(candidates: DataFrame, budget: int, pool: int = 10_000) -> DataFrame:
-    """Greedy pack of the best candidates into a token budget, in one task over a bounded pool.
+    """Greedy pack of the candidates (id, score, n_tokens; one row per id) into a token budget: whole ones in rank order while they fit.
 
-    Only the first ``pool`` candidates can matter while each holds a token or more and budget <= pool."""
-    top = candidates.orderBy(F.desc("score"), "id").limit(max(pool, budget))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        return pdf[greedy_pack(pdf["n_tokens"].tolist(), budget)]
-
-    return top.groupBy().applyInPandas(pack, top.schema)
+    All candidates count, in blocks of the next ``pool`` that still fit. The first of a block always fits, so every block
+    uses budget; those without a token fit anyway and take no part in the walk, so at most ``budget`` rows are fetched and kept.
+    """
+    c = written(candidates, "candidates")  # small, and every block must see the same scores
+    rest, kept = c.filter("n_tokens > 0"), []
+    while True:
+        block = rest.filter(F.col("n_tokens") <= budget).orderBy(F.desc("score"), "id").limit(pool).collect()
+        for r, ok in zip(block, greedy_pack([r.n_tokens for r in block], budget), strict=True):
+            if ok:
+                kept.append(r)
+                budget -= r.n_tokens
+        if len(block) < pool:
+            break
+        last = block[-1]
+        rest = c.filter("n_tokens > 0").filter((F.col("score") < last.score) | ((F.col("score") == last.score) & (F.col("id") > last.id)))
+    free = c.filter((F.col("n_tokens") == 0) & F.lit(budget >= 0))
+    return c.sparkSession.createDataFrame(kept, c.schema).unionByName(free)

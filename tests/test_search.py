@@ -1,4 +1,5 @@
 import math
+import random
 
 from evidlake.operators import audit as a
 from evidlake.operators import graph as g
@@ -61,3 +62,19 @@ def test_cycles_and_diamonds(spark):
     known = spark.createDataFrame([(n,) for n in "abcdxy"], "node string")
     got = {r.start: tuple(r)[1:] for r in g.provenance(spark.createDataFrame([("a",), ("x",), ("d",)], "start string"), edges, known).collect()}
     assert got == {"a": (5, 0, 1, False), "x": (2, 0, 0, True), "d": (2, 0, 1, False)}
+
+
+def test_context_pack_walks_all_candidates(spark):
+    rows = [(f"{i:05d}", 1.0, 60) for i in range(12_000)] + [("z", 0.5, 40), ("zz", 0.4, 1), ("free", 0.1, 0), ("unknown", 0.9, None)]
+    c = spark.createDataFrame(rows, "id string, score double, n_tokens bigint")
+    assert {r.id for r in s.context_pack(c, 100).collect()} == {"00000", "z", "free"}
+
+
+def test_context_pack_in_blocks(spark):
+    rnd = random.Random(2)
+    rows = [(f"{i:03d}", float(rnd.randint(0, 5)), rnd.randint(0, 30)) for i in range(200)]
+    c, order = spark.createDataFrame(rows, "id string, score double, n_tokens bigint"), sorted(rows, key=lambda r: (-r[1], r[0]))
+    for budget in (0, 7, 90, 5000):
+        want = {r[0] for r, ok in zip(order, s.greedy_pack([r[2] for r in order], budget), strict=True) if ok}
+        got = [r.id for r in s.context_pack(c, budget, 3).collect()]
+        assert set(got) == want and len(got) == len(want)
