@@ -1,10 +1,10 @@
-"""Evaluation texts that leak into a corpus, found by spaced-seed hashing.
+"""Evaluation texts that leak into a corpus, found by hashed runs of letters and by spaced seeds.
 
-A seed is a fixed mask over consecutive words; the words under its zeros are ignored, so a hit survives a
-substitution there. The seeds of the evaluation items are hashed once; every document's windows are hashed
-by the same masks and looked up. Each hit is extended to both sides over the letters and digits alone, so
-marks, line breaks or markup inside words don't end it, and the whole words of the item that are covered
-are counted.
+Every window of ``least`` words of an item is known by its first letters and digits, however they are cut into
+words; a document's letters are hashed from every position and looked up, so any number of torn words does no
+harm. Each hit is extended to both sides over the letters and digits alone; the longest run decides. Spaced
+seeds, fixed masks over consecutive words whose zeros are ignored, then count the item's words that are
+covered, substituted ones too.
 """
 
 from __future__ import annotations
@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 
 from evidlake.llm.words import WORD, mixed
 
-#: Masks of six words, of which one is ignored: of 12 consecutive words with one of them torn, six in a row are whole.
+#: Letters and digits by which a window is known; one that has fewer is known by as many as it has words.
+LETTERS = 24
+#: Log2 of the flags that tell most hashes of letters apart before they are looked up.
+FLAGS = 22
+#: Masks of six words, of which one is ignored.
 MASKS = ((1, 1, 0, 1, 1, 1), (1, 1, 1, 0, 1, 1))
 SPAN = 6
 #: Words of items that one broadcast holds (about 60 MB); more items are taken in several blocks.
@@ -44,29 +48,70 @@ def clean_words(text: str | None) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def grams(c: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n codes from each place on."""
+    base, out, done, size, h = 0x9E3779B97F4A7C15, None, 0, 1, c
+    while True:
+        if n & size:
+            w = max(0, len(c) - done - size + 1)
+            out = h if out is None else out[:w] * np.uint64(pow(base, size, 1 << 64)) + h[done : done + w]
+            done += size
+        if done == n:
+            return mixed(out)
+        w = max(0, len(c) - 2 * size + 1)
+        h = h[:w] * np.uint64(pow(base, size, 1 << 64)) + h[size : size + w]
+        size *= 2
+
+
+class Table:
+    """Places by hash."""
+
+    def __init__(self, hashes: list[np.ndarray], places: list[np.ndarray]):
+        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.places = np.concatenate(places)[order] if places else np.zeros((0, 2), int)
+        self.hashes, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
+        self.flags = np.zeros(1 << FLAGS, bool)
+        self.flags[self.hashes >> np.uint64(64 - FLAGS)] = True
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in h and the places there, one row per place."""
+        pos = np.flatnonzero(self.flags[h >> np.uint64(64 - FLAGS)])
+        at = np.searchsorted(self.hashes, h[pos])
+        same = self.hashes[at.clip(max=len(self.hashes) - 1)] == h[pos] if len(pos) else np.zeros(0, bool)
+        pos, e = pos[same], at[same]
+        n = self.count[e]
+        return np.repeat(pos, n), self.places[np.repeat(self.first[e], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
+
 class Items:
-    """Seeds of a block of items: sorted hashes with, for each, the places where it starts."""
+    """A block of items: their windows of ``least`` words by letters, their spaced seeds by words."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], least: int):
         self.ids = [i for i, _ in rows]
         toks = [clean_words(t) for _, t in rows]
         self.vocabulary: dict[str, int] = {}
         self.stream = ["".join(t) for t in toks]
         self.starts = [np.r_[0, np.cumsum([len(w) for w in t])].astype(int).tolist() for t in toks]
-        hashes, places, flat = [], [], []
+        seeds, windows = ([], []), {LETTERS: ([], []), least: ([], [])}
         for k, t in enumerate(toks):
-            x = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in t], np.uint64)
-            flat.append(x)
-            h = self.hashed(x)
-            hashes.append(h.reshape(-1))
+            h = self.hashed(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in t], np.uint64))
             pos = np.tile(np.arange(h.shape[1]), len(MASKS))
-            places.append(np.c_[np.full(len(pos), k), pos])
-        self.flat = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
-        self.base = np.r_[0, np.cumsum([len(x) for x in flat])].astype(int)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.places = np.concatenate(places)[order] if places else np.zeros((0, 2), int)
-        self.hashes, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
+            seeds[0].append(h.reshape(-1))
+            seeds[1].append(np.c_[np.full(len(pos), k), pos])
+            at = np.array(self.starts[k])
+            q = np.arange(max(0, len(t) - least + 1))
+            long = at[q + least] - at[q] >= LETTERS
+            for n, own in ((LETTERS, q[long]), (least, q[~long])):
+                if len(own):
+                    windows[n][0].append(grams(codes(self.stream[k]), n)[at[own]])
+                    windows[n][1].append(np.c_[np.full(len(own), k), own])
+        self.seeds = Table(*seeds)
+        self.windows = {n: Table(*w) for n, w in windows.items() if w[0]}
 
     @staticmethod
     def hashed(x: np.ndarray) -> np.ndarray:
@@ -84,33 +129,22 @@ class Items:
             out[m] = mixed(h)
         return out
 
-    def hits(self, x: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-        """Anchors (document's word, item's number, item's word), one per run of whole seeds, and all hits of
-        the anchors' items as rows of item's number, diagonal, item's word."""
-        none = [], np.zeros((0, 3), int)
-        h = self.hashed(x)
-        if not h.shape[1] or not len(self.hashes):
-            return none
-        at = np.searchsorted(self.hashes, h)
-        at[at == len(self.hashes)] = 0
-        _, pos = hit = np.nonzero(self.hashes[at] == h)
-        if not len(pos):
-            return none
-        e = at[hit]
-        n = self.count[e]
-        p = np.repeat(pos, n)
-        place = self.places[np.repeat(self.first[e], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        k, q = place[:, 0], place[:, 1]
-        # A whole seed: the word under the mask's zero agrees as well.
-        whole = np.ones(len(p), bool)
-        for s in range(SPAN):
-            whole &= x[p + s] == self.flat[self.base[k] + q + s]
-        if not whole.any():
-            return none
-        rows = np.unique(np.c_[k, p - q, p, q][whole], axis=0)
-        new = np.r_[True, (np.diff(rows[:, :2], axis=0) != 0).any(axis=1) | (np.diff(rows[:, 2]) > 1)]
-        anchors = [(int(p), int(k), int(q)) for k, _, p, q in rows[new]]
-        return anchors, np.c_[k, p - q, q][np.isin(k, rows[:, 0])]
+    def anchors(self, text: str) -> list[tuple[int, int, int]]:
+        """Document's letter, item's number, item's word, in order of letters."""
+        c, out = codes(text), []
+        for n, table in self.windows.items():
+            if len(c) >= n:
+                pos, place = table.of(grams(c, n))
+                out += zip(pos.tolist(), *place.T.tolist(), strict=True)
+        return sorted(out)
+
+    def hits(self, x: np.ndarray) -> np.ndarray:
+        """All hits of spaced seeds: item's number, diagonal, item's word."""
+        rows = []
+        for h in self.hashed(x):
+            p, place = self.seeds.of(h)
+            rows.append(np.c_[place[:, 0], p - place[:, 1], place[:, 1]])
+        return np.concatenate(rows)
 
 
 def _common(a: str, i: int, b: str, j: int) -> int:
@@ -127,30 +161,38 @@ def _common(a: str, i: int, b: str, j: int) -> int:
     return n
 
 
-def matched(items: Items, tokens: list[str], x: np.ndarray) -> dict[int, tuple[int, int]]:
-    """item's number -> (longest run of its consecutive words, its words under seeds that hit near such runs,
-    substituted words within them included)."""
-    anchors, hits = items.hits(x)
+def matched(items: Items, tokens: list[str], least: int) -> dict[int, tuple[int, int]]:
+    """item's number -> (longest run of its consecutive words, of ``least`` or more, its words under seeds that hit
+    near such runs, substituted words within them included)."""
+    text = "".join(tokens)
+    anchors = items.anchors(text)
     if not anchors:
         return {}
-    text = "".join(tokens)
     back_text, back = text[::-1], {}
     starts = np.r_[0, np.cumsum([len(w) for w in tokens])].astype(int).tolist()
     edges = set(starts)
     longest: dict[int, int] = {}
     diagonals: dict[int, list[int]] = {}
-    for p, k, q in anchors:
+    done: dict[tuple[int, int], int] = {}
+    for a, k, q in anchors:
         stream, at = items.stream[k], items.starts[k]
-        a, b = starts[p], at[q]
+        b = at[q]
+        if done.get((k, a - b), -1) > a:
+            continue  # within a run that was extended before
         right = _common(text, a, stream, b)
         left = _common(back_text, len(text) - a, back.setdefault(k, stream[::-1]), len(stream) - b)
+        done[k, a - b] = a + right
         lo, hi = bisect_left(at, b - left), bisect_right(at, b + right) - 1
         while lo < hi and at[lo] - b + a not in edges:
             lo += 1
         while hi > lo and at[hi] - b + a not in edges:
             hi -= 1
-        longest[k] = max(longest.get(k, 0), hi - lo)
-        diagonals.setdefault(k, []).append(p - q)
+        if hi - lo >= least:
+            longest[k] = max(longest.get(k, 0), hi - lo)
+            diagonals.setdefault(k, []).append(bisect_right(starts, a) - 1 - q)
+    if not longest:
+        return {}
+    hits = items.hits(np.array([items.vocabulary.get(w, 0) for w in tokens], np.uint64))
     out = {}
     for k, n in longest.items():
         own = hits[hits[:, 0] == k]
@@ -169,7 +211,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 12) -> DataFrame:
     shuffled, and each text is taken whole. Other columns are ignored.
     """
     if least < 2 * SPAN - 1:
-        raise ValueError(f"runs of fewer than {2 * SPAN - 1} words may hold no whole seed")
+        raise ValueError(f"runs of fewer than {2 * SPAN - 1} words are too common")
     spark, out = documents.sparkSession, None
     sizes = items.filter("text is not null").select("item_id", F.size(F.split("text", r"\s+")).alias("n"))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -177,19 +219,14 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 12) -> DataFrame:
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
         rows = [(r.item_id, r.text) for r in part.select("item_id", "text").filter("item_id is not null").distinct().collect() if r.text]
-        shared = spark.sparkContext.broadcast(Items(rows))
+        shared = spark.sparkContext.broadcast(Items(rows, least))
 
         def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             it = shared.value
-            number = it.vocabulary.get
             for df in batches:
                 found = []
                 for d, t in zip(df["doc_id"].tolist(), df["text"], strict=True):
-                    tokens = clean_words(t)
-                    if len(tokens) < SPAN:
-                        continue
-                    x = np.array([number(w, 0) for w in tokens], np.uint64)
-                    found += [(d, it.ids[k], n, c) for k, (n, c) in matched(it, tokens, x).items() if n >= least]
+                    found += [(d, it.ids[k], n, c) for k, (n, c) in matched(it, clean_words(t), least).items()]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "n_words", "n_covered"])
 
         df = documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(find, "doc_id bigint, item_id bigint, n_words int, n_covered int")

@@ -61,3 +61,15 @@ def test_very_long_text(spark):
     item = " ".join(f"a{k}" for k in range(30))
     d = spark.createDataFrame([(1, "b c d e " * 100_000 + item + " b c" * 100_000)], "doc_id bigint, text string")
     assert leaks(d, spark.createDataFrame([(1, item)], "item_id bigint, text string")).first().n_words == 30
+
+
+def test_several_torn_words(spark):
+    w = "the quick brown fox jumps over the lazy dog while nine cats".split()
+    torn = lambda *at: " ".join(x[:1] + "**" + x[1:] if k in at else x for k, x in enumerate(w))
+    forms = [torn(3, 8), torn(2, 5, 9), torn(*range(12)), " ".join(w[:3]) + " f-\nox " + " ".join(w[4:8]) + " d-\nog " + " ".join(w[9:])]
+    short = "a b c d e f g h i jk l m".split()
+    forms.append(" ".join(short[:9]) + " j*k l m")
+    no = [torn(3, 8).replace("qu", "kw"), "x" + torn(3, 8), " ".join(short[:9]) + " j*k l n"]
+    d = spark.createDataFrame(list(enumerate(forms + no)), "doc_id bigint, text string")
+    i = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(short))], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id, r.n_words) for r in leaks(d, i).collect()} == {(k, 1 + (k == 4), 12) for k in range(len(forms))}
