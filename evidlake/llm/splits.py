@@ -1,12 +1,10 @@
-"""Same or near-same records across splits, by a suffix array over each block's texts.
+"""Same or near-same records across splits, by prefix filtering on each block's rarest words.
 
 Records are compared if they share an expected id. Within the block of an id every text is written in one
-canonical order, the block's rarest words first, so that reordered texts read alike; equal texts are one
-class. The suffixes of all texts are sorted, and suffixes of different splits that stand together with a
-common prefix reveal a shared span. Two texts whose overlap reaches ``least`` must share the first word of
-some suffix that starts in their first n - ceil(least * n) + 1 words, so only those suffixes are sorted:
-nothing is lost, and the block's common words never bring texts together. The spans of a pair are merged
-into its coverage, and the overlap is then counted exactly.
+canonical order, the block's rarest words first; equal texts are one class. Two texts whose overlap reaches
+``least`` must share one of their first n - ceil(least * n) + 1 words, so texts of different splits that do
+are the candidates: nothing is lost, and the block's common words never bring texts together. The overlap is
+then counted exactly over whole texts.
 """
 
 from __future__ import annotations
@@ -23,8 +21,6 @@ from pyspark.sql import functions as F
 from evidlake.llm.words import each_group, sorted_groups, words
 from evidlake.session import written
 
-#: Words of a suffix that take part in the sort; the exact count afterwards uses whole texts.
-DEPTH = 8
 #: Pairs made at once within a run.
 CHUNK = 1 << 20
 
@@ -45,45 +41,33 @@ def _classes(cases: DataFrame) -> DataFrame:
     return cases.mapInPandas(make, "case_id bigint, ids array<string>, split string, source string, class binary, words array<string>")
 
 
-def _spans(least: float):
+def _candidates(least: float):
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in sorted_groups(batches, ["eid", "first"]):
             train, ev = df["train"].to_numpy(), df["held"].to_numpy()
-            n, pos = df["n"].to_numpy(), df["pos"].to_numpy()
-            suffix, key = df["suffix"].tolist(), df["class"].to_numpy()
+            n, pos, key = df["n"].to_numpy(), df["pos"].to_numpy(), df["class"].to_numpy()
             for lo, hi in each_group(df, ["eid", "first"]):
                 one, two = lo + np.flatnonzero(train[lo:hi]), lo + np.flatnonzero(ev[lo:hi])
                 if not len(one) or not len(two):
                     continue
-                # Of adjacent suffixes; the common prefix of any two is the least between them.
-                lcp = np.array([0, *(sum(1 for _ in _same(suffix[k - 1], suffix[k])) for k in range(lo + 1, hi))])
                 step = max(1, CHUNK // len(two))
                 for s in range(0, len(one), step):
                     a, b = np.repeat(one[s : s + step], len(two)), np.tile(two, len(one[s : s + step]))
                     # As if this were the first common word: what can still be shared must be enough.
                     ok = np.minimum(n[a] - pos[a], n[b] - pos[b]) * (1 + least) >= least * (n[a] + n[b]) - 1e-9
                     ok &= key[a] != key[b]
-                    a, b = a[ok], b[ok]
-                    span = [int(lcp[min(x, y) - lo + 1 : max(x, y) - lo + 1].min()) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                    yield pd.DataFrame({"a": key[a], "b": key[b], "pos": pos[a], "span": span})
+                    yield pd.DataFrame({"a": key[a[ok]], "b": key[b[ok]]})
 
     return pairs
 
 
-def _same(a: list[str], b: list[str]) -> Iterator[None]:
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            return
-        yield None
-
-
 def cross_split_overlaps(cases: DataFrame, least: float = 0.6) -> DataFrame:
     """Pairs of a train case and one of another split that expect a common id and agree in their words.
 
     cases: case_id, query, expected_ids, split (null means dev), source. Result: case_id_a < case_id_b,
     split and source of the case outside train, score (words in common, counted, over words of either,
-    counted as often as the one with more has them) and coverage (words of the train text in revealed
-    spans). Cases with a null or wordless query or without expected ids have no pairs; repeated rows and
+    counted as often as the one with more has them) and coverage (words of the train text that the other
+    has). Cases with a null or wordless query or without expected ids have no pairs; repeated rows and
     repeated ids count once; extra columns are ignored.
     """
     c = cases.filter("case_id is not null and query is not null and expected_ids is not null").select(
@@ -99,22 +83,16 @@ def cross_split_overlaps(cases: DataFrame, least: float = 0.6) -> DataFrame:
     order = word.join(rare, ["eid", "w"]).groupBy("eid", "class").agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("order"))
     n = F.size("order")
     start = F.explode(F.sequence(F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1))
-    suffixes = (
+    prefixes = (
         blocks.drop("words").join(order, ["eid", "class"])
         .select("eid", "class", "train", "held", n.alias("n"), start.alias("pos"), F.expr("transform(order, x -> x.w)").alias("t"))
-        .select("eid", "class", "train", "held", "n", (F.col("pos") - 1).alias("pos"), F.element_at("t", F.col("pos")).alias("first"), F.slice("t", F.col("pos"), F.lit(DEPTH)).alias("suffix"))
-    )
-    spans = (
-        suffixes.repartition("eid", "first").sortWithinPartitions("eid", "first", "suffix")
-        .mapInPandas(_spans(least), "a binary, b binary, pos int, span int")
+        .select("eid", "class", "train", "held", "n", (F.col("pos") - 1).alias("pos"), F.element_at("t", F.col("pos")).alias("first"))
     )
-    # Merged spans: positions covered by any span; a span that starts within an earlier one adds its rest.
-    at = F.expr("aggregate(array_sort(collect_list(struct(pos, span))), named_struct('n', 0, 'to', 0), (s, x) -> named_struct('n', s.n + greatest(0, x.pos + x.span - greatest(s.to, x.pos)), 'to', greatest(s.to, x.pos + x.span)), s -> s.n)")
-    cand = spans.distinct().groupBy("a", "b").agg(at.alias("coverage"))
+    cand = prefixes.repartition("eid", "first").sortWithinPartitions("eid", "first").mapInPandas(_candidates(least), "a binary, b binary").distinct()
     w = rows.select("class", "words").distinct()
     near = cand.join(w.toDF("a", "words_a"), "a").join(w.toDF("b", "words_b"), "b")
     inter = F.size(F.array_intersect("words_a", "words_b"))
-    near = near.select("a", "b", "coverage", (inter / (F.size("words_a") + F.size("words_b") - inter)).alias("score")).filter(F.col("score") >= least - 1e-12)
+    near = near.select("a", "b", inter.alias("coverage"), (inter / (F.size("words_a") + F.size("words_b") - inter)).alias("score")).filter(F.col("score") >= least - 1e-12)
     same = rows.select(F.col("class").alias("a"), F.col("class").alias("b"), F.size("words").alias("coverage"), F.lit(1.0).alias("score")).distinct()
     of = rows.select("case_id", "split", "source", "class", F.explode("ids").alias("eid"))
     train = of.filter("split = 'train'").select(F.col("case_id").alias("t_id"), F.col("class").alias("a"), "eid")

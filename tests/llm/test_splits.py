@@ -52,3 +52,10 @@ def test_one_id_holds_everything(spark):
     rows += [(10_000 + k, rows[k][1].upper() + "?", ["hot"], "train" if not k % 2 else "dev", "s", 1) for k in range(50)]
     got = {(r.case_id_a, r.case_id_b) for r in cross_split_overlaps(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert {(k, 10_000 + k) for k in range(50)} <= got and len(got) < 60
+
+
+def test_coverage_counts_whole_texts(spark):
+    w = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(w), ["e"], "train", "s", 1), (2, " ".join([*w[:39], "x"]), ["e"], "dev", "s", 1)]
+    got = cross_split_overlaps(spark.createDataFrame(rows, SCHEMA)).first()
+    assert got.coverage == 39 and abs(got.score - 39 / 41) < 1e-12
