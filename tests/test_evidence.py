@@ -50,3 +50,11 @@ def test_every_order_is_an_entry(spark, sf):
     want = brute(entries, [f"c/{7 * i}" for i in range(1, 40)], commits)
     got = [(r.id, r.bucket, r.n_commits) for r in evidences.QUERIES["stale_check_commits_all"](spark, sf).collect()]
     assert sorted(got) == sorted((i, b, n) for i, (b, n) in want.items()) and any(int(i) % 50 for i in want)
+
+
+def test_every_live_entry(same):
+    from evidlake.plans import evidences
+
+    sql = evidences.SQL["entry_get"]
+    assert " and e.id like 'a%'" in sql
+    same(evidences.QUERIES["entry_get_all"], sql.replace(" and e.id like 'a%'", ""))
