@@ -76,6 +76,11 @@ def retention(spark, sf):
     return a.retained(table(spark, sf, "hits").dropDuplicates(["id"]), NOW, 90, 100).select("id", "queried_at")
 
 
+def retention_default(spark, sf):
+    """With the operator's own days and cap."""
+    return a.retained(table(spark, sf, "hits").dropDuplicates(["id"]), NOW).select("id", "queried_at")
+
+
 def older_than(spark, sf):
     """Paths whose latest entry is older than September 2025 (text comparison), with that entry's summary."""
     e = s.live(d.entries(spark, sf))
@@ -118,7 +123,7 @@ def digest(spark, sf):
 QUERIES = {
     "audit_report_kind": by_kind, "audit_report_arm": by_arm, "audit_totals": totals, "source_weights": weights, "source_confidence": confidence,
     "audit_sample": sample, "audit_record_validate": judge, "injection_telemetry": telemetry, "injections_acted_on": acted, "hit_counts": hit_counts,
-    "telemetry_retention": retention, "older_than": older_than, "retrieval_eval": evaluation, "retrieval_metrics": metrics, "retrieval_compare": compare, "corpus_digest": digest,
+    "telemetry_retention": retention, "telemetry_retention_default": retention_default, "older_than": older_than, "retrieval_eval": evaluation, "retrieval_metrics": metrics, "retrieval_compare": compare, "corpus_digest": digest,
 }
 _V = """vd as (select *, case when row_id % 2 = 0 then 'uniform' else 'traffic' end as arm from (select distinct row_id, run_id, entry_id, outcome = 'would_heal' as verdict, reason as note from migration_rows where entry_id is not null)),
 vk as (select vd.*, kind, session_id from vd join e on e.id = entry_id)"""

@@ -51,6 +51,11 @@ def cap(spark, sf):
     return ev.capped(d.evidence(spark, sf), 2).select("entry_id", "id", "n", "over")
 
 
+def cap_default(spark, sf):
+    """With the operator's own cap."""
+    return ev.capped(d.evidence(spark, sf)).select("entry_id", "id", "n", "over")
+
+
 def _get(spark, sf, e):
     j = ev.with_evidence(e, d.evidence(spark, sf))
     return j.select("id", "path", F.coalesce(F.array_join(F.transform("evidence", lambda x: x["id"]), ","), F.lit("")).alias("evidence_ids"))
@@ -118,7 +123,7 @@ def review(spark, sf):
 
 
 QUERIES = {
-    "citation_parse": parse, "citation_budget": budget, "evidence_cap_per_entry": cap, "entry_get": get, "entry_get_all": get_all, "verify_evidence": verify, "cite_files": cite,
+    "citation_parse": parse, "citation_budget": budget, "evidence_cap_per_entry": cap, "evidence_cap_default": cap_default, "entry_get": get, "entry_get_all": get_all, "verify_evidence": verify, "cite_files": cite,
     "cited_by": cited, "relocate_excerpt": relocate, "migrate_citations": heal, "stale_check_commits": stale, "stale_check_commits_all": stale_all, "stale_check_refs": review,
 }
 _PARSE = r"""case when citation_path is null then 'missing_path' when contains(citation_path, ':') and not coalesce(regexp_matches(citation_path, ':\d{1,18}-\d{1,18}$') and

@@ -58,3 +58,12 @@ def test_every_live_entry(same):
     sql = evidences.SQL["entry_get"]
     assert " and e.id like 'a%'" in sql
     same(evidences.QUERIES["entry_get_all"], sql.replace(" and e.id like 'a%'", ""))
+
+
+def test_default_caps(same):
+    from evidlake.plans import audits, evidences
+
+    sql = audits.SQL["telemetry_retention"]
+    assert sql.endswith("limit 100")
+    same(audits.QUERIES["telemetry_retention_default"], sql.removesuffix("100") + "200000")
+    same(evidences.QUERIES["evidence_cap_default"], evidences.SQL["evidence_cap_per_entry"].replace("> 2)", "> 200)").replace("> 2 ", "> 200 ").replace("n <= 2", "n <= 200"))
