@@ -48,8 +48,11 @@ def runs(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def sorted_groups(batches: Iterator[pd.DataFrame], key: list[str], least: int = 2) -> Iterator[pd.DataFrame]:
-    """Chunks of whole groups from batches sorted by key; groups of fewer than ``least`` rows are left out."""
-    rest: pd.DataFrame | None = None
+    """Chunks of whole groups from batches sorted by key; groups of fewer than ``least`` rows are left out.
+
+    The parts of a group that goes on over several batches are joined once, at its end.
+    """
+    rest: list[pd.DataFrame] = []
 
     def cut(df: pd.DataFrame) -> np.ndarray:
         k = df[key].to_numpy()
@@ -62,14 +65,24 @@ def sorted_groups(batches: Iterator[pd.DataFrame], key: list[str], least: int =
     for df in batches:
         if not len(df):
             continue
-        if rest is not None:
-            df = pd.concat([rest, df], ignore_index=True)
-        last = cut(df)[-2]
-        rest = df.iloc[last:]
-        if last and len(out := large(df.iloc[:last])):
+        at = cut(df)
+        if rest and (rest[-1][key].iloc[-1] == df[key].iloc[0]).all():
+            if len(at) == 2:
+                rest.append(df)
+                continue
+            rest.append(df.iloc[: at[1]])
+            df, at = df.iloc[at[1] :], at[1:] - at[1]
+        if rest:
+            whole = pd.concat(rest, ignore_index=True)
+            if len(whole) >= least:
+                yield whole
+        if at[-2] and len(out := large(df.iloc[: at[-2]])):
             yield out
-    if rest is not None and len(rest) >= least:
-        yield rest
+        rest = [df.iloc[at[-2] :]]
+    if rest:
+        whole = pd.concat(rest, ignore_index=True)
+        if len(whole) >= least:
+            yield whole
 
 
 def each_group(df: pd.DataFrame, key: list[str]) -> Iterator[tuple[int, int]]:
