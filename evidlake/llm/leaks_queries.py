@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 from evidlake.llm.leaks import leaks
 from evidlake.session import spread, table
 
+LEAST = 12
+
 
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return leaks(spread(table(spark, sf, "documents").select("doc_id", "text")), table(spark, sf, "eval_items"))
+    return leaks(spread(table(spark, sf, "documents").select("doc_id", "text")), table(spark, sf, "eval_items"), LEAST)
 
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
-    return _leaks(spark, sf).select("doc_id", "item_id").distinct()
+    return _leaks(spark, sf).filter(F.col("n_words") >= LEAST).select("doc_id", "item_id").distinct()
 
 
 def report(spark: SparkSession, sf: str) -> DataFrame:
-    """Per evaluation suite and split: items that leaked, documents that hold any, longest run."""
+    """Per evaluation suite and split: items that leaked, documents that hold any, longest run; and documents that hold
+    one only with words exchanged."""
     suites = table(spark, sf, "eval_items").select("item_id", "suite", "split")
+    exact = F.col("n_words") >= LEAST
     return _leaks(spark, sf).join(suites, "item_id").groupBy("suite", "split").agg(
-        F.countDistinct("item_id").alias("n_items"), F.countDistinct("doc_id").alias("n_documents"), F.max("n_words").alias("longest")
+        F.countDistinct(F.when(exact, F.col("item_id"))).alias("n_items"),
+        F.countDistinct(F.when(exact, F.col("doc_id"))).alias("n_documents"),
+        F.max("n_words").alias("longest"),
+        F.countDistinct(F.when(~exact, F.col("doc_id"))).alias("n_near_documents"),
     )
 
 
