@@ -1,23 +1,33 @@
 """Change feeds applied to a table with delete vectors.
 
-A table is a folder of immutable image files plus, per version, one bitmap per (file, block of 32,768
-rows). Applying a batch of changes never rewrites an image file: the rows a batch supersedes are located
-through the key index (key -> file, position), their bits are set, the new images are appended, and
-readers drop the positions whose bit is set. Expiries are kept as tombstone images, so that a later,
-older upsert can still be told to be out of date.
+A table is a folder of immutable files: images, key index and bitmaps. Applying a batch of changes never rewrites
+one: the rows a batch supersedes are located through the key index (key -> file, position; of the buckets of keys
+that the batch touches), the new images are appended, the superseded positions get their bits in bitmaps per file and
+block of 32,768 rows, and readers drop the positions whose bit is set. Expiries are kept as tombstone images, so that a
+later, older upsert can still be told to be out of date.
+
+A version exists once its manifest does, which names its folders and is put in place by one rename. A batch that broke off
+before that leaves folders nobody reads, and is simply applied again.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidlake.functions.times import instant_us
-from evidlake.session import new_path
+from evidlake.session import new_path, passing
 
 #: Bits of one bitmap, as bitmap_construct_agg has them.
 BLOCK = 32_768
 _ORDER = "_order"
+#: Buckets of the key index; a batch reads those of its keys.
+BUCKETS = 16
+#: Bitmaps (of 4 KB) that a reader broadcasts at once (64 MB); more are taken in groups of files, each read once.
+GROUP = 16_384
 
 
 def normalized(feed: DataFrame) -> DataFrame:
@@ -45,77 +55,192 @@ def normalized(feed: DataFrame) -> DataFrame:
 
 
 class DeleteVectorTable:
-    """Versioned table kept by key; versions are immutable, ``version`` names the current one."""
+    """Versioned table kept by key. Opens the newest version in the folder, or the one asked for; ``version`` is 0 and
+    nothing can be read where there is none yet. Versions are immutable and stay readable; ``epoch`` is the
+    last batch number applied. ``buckets`` is fixed by the first version."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, columns: list[str], version: int | None = None, buckets: int = BUCKETS):
+        self.spark, self.path, self.key, self.columns = spark, path.rstrip("/"), key, columns
+        self.manifest = {"version": 0, "epoch": -1, "buckets": buckets, "images": [], "index": [], "vectors": []}
+        newest = version if version is not None else max(self._versions(), default=0)
+        if newest:
+            self.manifest = json.loads(self.spark.sparkContext.wholeTextFiles(self._manifest_path(newest), 1).values().first())
+
+    @property
+    def version(self) -> int:
+        return self.manifest["version"]
+
+    @property
+    def epoch(self) -> int:
+        return self.manifest["epoch"]
+
+    def _manifest_path(self, version: int) -> str:
+        return f"{self.path}/manifests/{version:012d}.json"
 
-    def __init__(self, spark: SparkSession, path: str, key: str, columns: list[str], version: int = 0):
-        self.spark, self.path, self.key, self.columns, self.version = spark, path, key, columns, version
+    def _hadoop(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _images(self) -> DataFrame:
-        paths = [f"{self.path}/images/{v}" for v in range(1, self.version + 1)]
-        return self.spark.read.parquet(*paths).select(
+    def _versions(self) -> list[int]:
+        p, fs = self._hadoop(f"{self.path}/manifests")
+        if not fs.exists(p):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_"))]
+
+    def _commit(self, manifest: dict) -> DeleteVectorTable:
+        """Puts the manifest in place; fails if another writer made that version."""
+        jvm = self.spark._jvm
+        p, fs = self._hadoop(f"{self.path}/manifests/_{uuid.uuid4().hex}")
+        out = fs.create(p, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        to, _ = self._hadoop(self._manifest_path(manifest["version"]))
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        at = fs.makeQualified(p)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration()).rename(at, fs.makeQualified(to), none)
+        nxt = DeleteVectorTable.__new__(DeleteVectorTable)
+        nxt.__dict__.update(self.__dict__, manifest=manifest)
+        return nxt
+
+    def _images(self, folders: list[str] | None = None) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{f}" for f in (folders or self.manifest["images"])]).select(
             "*",
             F.concat_ws("/", F.element_at(F.split("_metadata.file_path", "/"), -2), F.col("_metadata.file_name")).alias("_file"),
             F.col("_metadata.row_index").alias("_pos"),
         )
 
-    def _vectors(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/vectors/{version}")
+    def _vectors(self) -> DataFrame | None:
+        folders = self.manifest["vectors"]
+        if not folders:
+            return None
+        v = self.spark.read.parquet(*[f"{self.path}/{f}" for f in folders])
+        return v.groupBy("_file", "_block").agg(F.bitmap_or_agg("_bits").alias("_bits")) if len(folders) > 1 else v
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.manifest["buckets"])).cast("int")
 
     def _rows(self, columns: list[str]) -> DataFrame:
-        """Rows whose bit is not set. The join's small side is N/8 bytes for N images; the adaptive plan
-        broadcasts it only if its measured size is under the session's threshold."""
-        rows = self._images().select(*columns, "_file", "_pos")
-        if self.version < 2:
+        """Rows whose bit is not set. Files without bitmaps are read as they are; the others meet the bitmaps of their own
+        files, broadcast in groups of at most ``GROUP``, so that images are never shuffled."""
+        if not self.version:
+            raise ValueError(f"no version in {self.path} yet")
+        rows, vectors = self._images().select(*columns, "_file", "_pos"), self._vectors()
+        if vectors is None:
             return rows
+        per_file = vectors.groupBy("_file").agg(F.count("*").alias("n")).orderBy("_file").collect()  # one row per file
+        groups: list[list[str]] = [[]]
+        n = 0
+        for r in per_file:
+            if n and n + r.n > GROUP:
+                groups.append([])
+                n = 0
+            groups[-1].append(r["_file"])
+            n += r.n
         block, bit = F.floor(F.col("_pos") / BLOCK).cast("bigint"), (F.col("_pos") % BLOCK).cast("int")
         byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return (
-            rows.withColumns({"_block": block, "_bit": bit})
-            .join(self._vectors(self.version), ["_file", "_block"], "left")
-            .filter(F.col("_bits").isNull() | (F.getbit(byte, F.col("_bit") % 8) == 0))
-            .drop("_block", "_bit", "_bits")
+
+        def without(part: DataFrame, v: DataFrame) -> DataFrame:
+            return (
+                part.withColumns({"_block": block, "_bit": bit})
+                .join(F.broadcast(v), ["_file", "_block"], "left")
+                .filter(F.col("_bits").isNull() | (F.getbit(byte, F.col("_bit") % 8) == 0))
+                .drop("_block", "_bit", "_bits")
+            )
+
+        if len(groups) == 1:
+            return without(rows, vectors)
+        paths = {"/".join(f.split("/")[-2:]): f for f in self.spark.read.parquet(*[f"{self.path}/{f}" for f in self.manifest["images"]]).inputFiles()}
+        out, rest = None, set(paths)
+        for g in groups:
+            rest -= set(g)
+            part = without(self._of_files([paths[f] for f in g], columns), vectors.filter(F.col("_file").isin(g)))
+            out = part if out is None else out.unionByName(part)
+        return out.unionByName(self._of_files([paths[f] for f in sorted(rest)], columns)) if rest else out
+
+    def _of_files(self, files: list[str], columns: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*files).select(
+            *columns,
+            F.concat_ws("/", F.element_at(F.split("_metadata.file_path", "/"), -2), F.col("_metadata.file_name")).alias("_file"),
+            F.col("_metadata.row_index").alias("_pos"),
         )
 
+    def _index(self) -> DataFrame:
+        kind = f"`{self.key}` {self.manifest['key_type']}, {_ORDER} struct<instant: bigint, rank: int, back: bigint>, _file string, _pos bigint, v string, _bucket int"
+        return self.spark.read.schema(kind).option("basePath", f"{self.path}/index").parquet(*[f"{self.path}/{f}" for f in self.manifest["index"]])
+
+    def _touched(self, changes: DataFrame) -> DataFrame:
+        """The index in the buckets of the keys of ``changes``."""
+        buckets = [r[0] for r in changes.select(self._bucket()).distinct().collect()]  # as many as there are buckets at most
+        return self._index().filter(F.col("_bucket").isin(buckets))
+
     def index(self) -> DataFrame:
-        """Key -> file and position of its present image (tombstones too), one row per key."""
-        return self._rows([self.key, _ORDER])
+        """Key -> order, file and position of its present image (tombstones too), one row per key."""
+        last = self._index().groupBy(self.key).agg(F.max_by(F.struct(_ORDER, "_file", "_pos"), _ORDER).alias("_at"))
+        return last.select(self.key, "_at.*")
 
     def read(self) -> DataFrame:
         """The live rows."""
         return self._rows([*self.columns, _ORDER]).filter(F.col(f"{_ORDER}.rank") == 1).drop(_ORDER, "_file", "_pos")
 
-    def apply(self, changes: DataFrame) -> DeleteVectorTable:
+    def _index_of(self, folder: str, name: str) -> str:
+        """Writes the index of new images: their keys are read back with the positions they got."""
+        at = self._images([folder]).select(self.key, _ORDER, "_file", "_pos", self._bucket().alias("_bucket"))
+        at.repartition("_bucket").write.partitionBy("_bucket").option("compression", "zstd").parquet(f"{self.path}/index/v={name}")
+        return f"index/v={name}"
+
+    def apply(self, changes: DataFrame, epoch: int | None = None) -> DeleteVectorTable:
         """The next version, with a batch of ``normalized`` changes applied.
 
         Of a batch only the last change per key goes on (combined map-side, so a hot key costs one row
         per task). Changes that are not later than the key's present one are dropped, whatever the order
-        in which batches arrive; applying a batch again changes nothing.
+        in which batches arrive; applying a batch again changes nothing. With an ``epoch`` that is not above the
+        table's own the batch was applied before, and the same version comes back.
         """
-        payload = [c for c in self.columns if c != self.key]
-        last = (
-            changes.groupBy(self.key)
-            .agg(F.max_by(F.struct(*payload, _ORDER), F.col(_ORDER)).alias("_last"))
-            .select(self.key, "_last.*")
-        )
-        step = self.version + 1
-        nxt = DeleteVectorTable(self.spark, self.path, self.key, self.columns, step)
-        if not self.version:
-            last.write.option("compression", "zstd").parquet(f"{self.path}/images/{step}")
-            return nxt
-        present = self.index().select(self.key, F.col(_ORDER).alias("_was"), "_file", "_pos")
-        fresh = last.join(present, self.key, "left").filter(F.col("_was").isNull() | (F.col(_ORDER) > F.col("_was")))
-        fresh.write.option("compression", "zstd").parquet(path := f"{self.path}/images/{step}-staged")
-        staged = self.spark.read.parquet(path)
-        staged.select(self.key, *payload, _ORDER).write.option("compression", "zstd").parquet(f"{self.path}/images/{step}")
-        bits = (
-            staged.filter(F.col("_file").isNotNull())
-            .groupBy("_file", F.floor(F.col("_pos") / BLOCK).cast("bigint").alias("_block"))
-            .agg(F.bitmap_construct_agg((F.col("_pos") % BLOCK).cast("bigint")).alias("_bits"))
-        )
-        if self.version > 1:
-            bits = bits.unionByName(self._vectors(self.version)).groupBy("_file", "_block").agg(F.bitmap_or_agg("_bits").alias("_bits"))
-        bits.coalesce(1).write.parquet(f"{self.path}/vectors/{step}")
-        return nxt
+        if epoch is not None and epoch <= self.epoch:
+            return self
+        payload, name, m = [c for c in self.columns if c != self.key], uuid.uuid4().hex, {**self.manifest, "key_type": dict(changes.dtypes)[self.key]}
+        new = changes.select(self.key, _ORDER, F.struct(*payload).alias("_row"))
+        if m["index"]:
+            new = new.withColumn("_at", F.lit(None).cast("struct<_file: string, _pos: bigint>")).unionByName(
+                self._touched(changes).select(self.key, _ORDER, F.struct("_file", "_pos").alias("_at")), allowMissingColumns=True
+            )
+            mine, theirs = F.when(F.col("_at").isNull(), F.col(_ORDER)), F.when(F.col("_at").isNotNull(), F.col(_ORDER))
+            fresh = (
+                new.groupBy(self.key)
+                .agg(F.max_by("_row", mine).alias("_row"), F.max(mine).alias(_ORDER), F.max_by("_at", theirs).alias("_at"), F.max(theirs).alias("_was"))
+                .filter(F.col(_ORDER).isNotNull() & (F.col("_was").isNull() | (F.col(_ORDER) > F.col("_was"))))
+            )
+        else:
+            fresh = new.groupBy(self.key).agg(F.max_by("_row", _ORDER).alias("_row"), F.max(_ORDER).alias(_ORDER)).withColumn(
+                "_at", F.lit(None).cast("struct<_file: string, _pos: bigint>")
+            )
+        images = f"images/{name}"
+        # What an image supersedes stays beside it, so that index and bitmaps come from the files just written.
+        fresh.select(self.key, "_row.*", _ORDER, F.col("_at._file").alias("_old_file"), F.col("_at._pos").alias("_old_pos")).write.option(
+            "compression", "zstd"
+        ).parquet(f"{self.path}/{images}")
+        m["images"], m["index"] = [*m["images"], images], [*m["index"], self._index_of(images, name)]
+        if self.manifest["index"]:
+            bits = (
+                self.spark.read.parquet(f"{self.path}/{images}").filter(F.col("_old_file").isNotNull())
+                .groupBy(F.col("_old_file").alias("_file"), F.floor(F.col("_old_pos") / BLOCK).cast("bigint").alias("_block"))
+                .agg(F.bitmap_construct_agg((F.col("_old_pos") % BLOCK).cast("bigint")).alias("_bits"))
+            )
+            bits.write.parquet(f"{self.path}/vectors/{name}")
+            m["vectors"] = [*m["vectors"], f"vectors/{name}"]
+        m["version"], m["epoch"] = m["version"] + 1, max(m["epoch"], m["epoch"] if epoch is None else epoch)
+        return self._commit(m)
+
+    def compact(self) -> DeleteVectorTable:
+        """The next version with the same state: present images and tombstones in one folder, no bitmaps, one index."""
+        name, m = uuid.uuid4().hex, dict(self.manifest)
+        rows = self._rows([*self.columns, _ORDER]).drop("_file", "_pos")
+        rows.withColumns({"_old_file": F.lit(None).cast("string"), "_old_pos": F.lit(None).cast("bigint")}).write.option("compression", "zstd").parquet(f"{self.path}/images/{name}")
+        m["images"], m["vectors"] = [f"images/{name}"], []
+        m["index"] = [self._index_of(f"images/{name}", name)]
+        m["version"] += 1
+        return self._commit(m)
 
 
 def current_state(feed: DataFrame, batches: int = 4) -> DataFrame:
@@ -131,9 +256,11 @@ def current_state(feed: DataFrame, batches: int = 4) -> DataFrame:
     columns = [c for c in ("id", "seq", "path", "summary", "tags", "kind", "evidence_status", "permanent", "version_ref", "session_id", "ts") if c in feed.columns]
     changes = normalized(feed)
     lo, hi = feed.agg(F.min("seq"), F.max("seq")).first()
-    out = DeleteVectorTable(spark, new_path(spark, "entries"), "id", columns)
+    out = DeleteVectorTable(spark, path := new_path(spark, "entries"), "id", columns)
     if lo is None:
-        return out.apply(changes).read()
+        out = out.apply(changes)
+        passing(spark, path)
+        return out.read()
     cuts = [lo + (hi - lo) * i // batches for i in range(1, batches)]
     seq = F.col("seq")
     for i in range(batches):
@@ -145,4 +272,5 @@ def current_state(feed: DataFrame, batches: int = 4) -> DataFrame:
         if i == 0:
             span = span | seq.isNull()
         out = out.apply(normalized(feed.filter(span)))
+    passing(spark, path)
     return out.read()

@@ -12,7 +12,7 @@ from evidlake.session import table
 
 def live_fields(spark: SparkSession, sf: str) -> DataFrame:
     return current_state(table(spark, sf, "entry_changes")).select(
-        "id", "seq", "path", "summary", "kind", "evidence_status", "permanent", "version_ref", "session_id", "ts"
+        "id", "seq", "path", "summary", F.array_join("tags", ",").alias("tags"), "kind", "evidence_status", "permanent", "version_ref", "session_id", "ts"
     )
 
 
@@ -58,7 +58,7 @@ o as (select table_name, column_name, row_id, key_id, us from a where coalesce(c
 """
 SQL = {
     "p1_found": f"with {_LAST} select id, seq from live",
-    "p1_live_fields": f"""with {_LAST} select f.id, f.seq, f.path, f.summary, f.kind, f.evidence_status, f.permanent,
+    "p1_live_fields": f"""with {_LAST} select f.id, f.seq, f.path, f.summary, array_to_string(f.tags, ',') as tags, f.kind, f.evidence_status, f.permanent,
         f.version_ref, f.session_id, f.ts from live join entry_changes f on f.seq = live.seq""",
     "p6_found": f"with {_REFS} select distinct table_name, column_name, row_id from o",
     "p6_report": f"""with {_REFS} select table_name, column_name, strftime(make_timestamp(us), '%Y-%m') as month,

@@ -46,7 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
         set_now = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_now.isDefined():
             return set_now.get()
-        own = tempfile.mkdtemp(prefix="evidlake-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="evidlake-")  # tests and local benches
         spark.sparkContext.setCheckpointDir(own)
         return own
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -59,10 +61,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def passing(spark: SparkSession, path: str) -> None:
+    """An existing path of an intermediate table is removed when the driver's JVM ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, and later readers survive lost executors."""
+    """df as a table in the shared folder: cuts lineage, and later readers survive lost executors. Gone with the driver."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    passing(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

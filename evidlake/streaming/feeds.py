@@ -12,19 +12,21 @@ from evidlake.operators.delete_vectors import DeleteVectorTable, normalized
 class AppliedFeed:
     """A delete-vector table that a stream of change batches keeps current.
 
-    Each micro-batch is one version. The table's changes are idempotent and carry their own order, so a
-    batch that is retried after a failure, or arrives late, leaves the same state. The table's folder must
-    be shared by all executors and is chosen by the caller, as the stream's checkpoint is.
+    Each micro-batch is one version, and its number is part of the version's manifest. So a stream that is started
+    again, with a new object or in a new process, goes on where the table is: a batch that was applied before
+    is left out, one that broke off is applied as a whole. Changes carry their own order, so late batches leave the same
+    state. After ``compact_every`` versions the images are compacted. The table's folder must be shared by
+    all executors and is chosen by the caller, as the stream's checkpoint is.
     """
 
-    def __init__(self, spark: SparkSession, path: str, columns: list[str], key: str = "id"):
-        self.table = DeleteVectorTable(spark, path, key, columns)
-        self._done = -1
+    def __init__(self, spark: SparkSession, path: str, columns: list[str], key: str = "id", compact_every: int = 64):
+        self.table, self.compact_every = DeleteVectorTable(spark, path, key, columns), compact_every
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
-        if epoch > self._done and not batch.isEmpty():
-            self.table = self.table.apply(normalized(batch))
-        self._done = max(self._done, epoch)
+        if epoch > self.table.epoch and not batch.isEmpty():
+            self.table = self.table.apply(normalized(batch), epoch)
+            if len(self.table.manifest["images"]) >= self.compact_every:
+                self.table = self.table.compact()
 
     def start(self, feed: DataFrame, checkpoint: str) -> StreamingQuery:
         return feed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(self.apply).trigger(availableNow=True).start()

@@ -3,11 +3,14 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidlake.functions.times import instant_us
+from evidlake.operators import delete_vectors
 from evidlake.operators.delete_vectors import DeleteVectorTable, current_state, normalized
 from evidlake.operators.orphans import bloom_bits, may_contain, orphan_references, orphan_report, references
+from evidlake.streaming.feeds import AppliedFeed
 
 FEED = "seq bigint, action string, id string, path string, ts string, `_order` string"
 
@@ -72,6 +75,54 @@ def test_batches_in_any_order_and_again(spark, tmp_path):
     assert t.read().columns == ["id", "seq", "path"]
 
 
+def test_a_broken_apply_is_applied_again(spark, tmp_path, monkeypatch):
+    """A process that ends between images and bitmaps leaves nothing that the next one stumbles over."""
+    rows, cols, path = feed_rows(random.Random(4), 90), ["id", "seq", "path"], str(tmp_path / "t")
+    batches = [spark.createDataFrame(rows[k : k + 30], FEED) for k in (0, 30, 60)]
+    first = AppliedFeed(spark, path, cols)
+    with pytest.raises(ValueError):
+        first.read()
+    first.apply(batches[0], 0)
+    with monkeypatch.context() as m:
+        m.setattr(DeleteVectorTable, "_commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            first.apply(batches[1], 1)
+    again = AppliedFeed(spark, path, cols)
+    assert (again.table.version, again.table.epoch) == (1, 0)
+    again.apply(batches[0], 0)  # the stream repeats what it isn't sure of
+    again.apply(batches[1], 1)
+    again.apply(batches[1], 1)
+    third = AppliedFeed(spark, path, cols, compact_every=3)
+    third.apply(batches[2], 2)
+    assert sorted((r.id, r.seq, r.path) for r in third.read().collect()) == fold(rows)
+    assert len(third.table.manifest["images"]) == 1 and third.table.manifest["vectors"] == []
+    old = DeleteVectorTable(spark, path, "id", cols, version=1)
+    assert sorted((r.id, r.seq, r.path) for r in old.read().collect()) == fold(rows[:30])
+    with pytest.raises(Exception, match="exist"):
+        old.apply(normalized(batches[1]))  # version 2 is there already
+
+
+def test_index_buckets_of_touched_keys_only(spark, tmp_path):
+    t = DeleteVectorTable(spark, str(tmp_path / "t"), "id", ["id", "seq", "path"])
+    rows = [(k, "upsert", f"e{k}", "p", "2025-01-01T00:00:00Z", "x") for k in range(400)]
+    t = t.apply(normalized(spark.createDataFrame(rows, FEED)))
+    change = normalized(spark.createDataFrame([(500, "upsert", "e7", "q", "2025-01-02T00:00:00Z", "x")], FEED))
+    read = t._touched(change)
+    assert read.select("_bucket").distinct().count() == 1 and 0 < read.count() < 100
+    assert "PartitionFilters: [isnotnull(_bucket" in read._jdf.queryExecution().toString()
+    t = t.apply(change)
+    assert t.read().count() == 400 and t.read().filter("path = 'q'").count() == 1
+
+
+def test_groups_of_bitmaps(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delete_vectors, "GROUP", 1)
+    rows = feed_rows(random.Random(7), 120, 40)
+    t = DeleteVectorTable(spark, str(tmp_path / "t"), "id", ["id", "seq", "path"])
+    for k in range(0, 120, 30):
+        t = t.apply(normalized(spark.createDataFrame(rows[k : k + 30], FEED)))
+    assert sorted((r.id, r.seq, r.path) for r in t.read().collect()) == fold(rows)
+
+
 def test_extra_and_all_null_columns(spark):
     df = spark.createDataFrame([(1, "upsert", "a", None, "2025-01-01T00:00:00Z", None)], FEED).withColumn("_file", F.lit("clash")).withColumn("_last", F.lit(1))
     assert [tuple(r) for r in current_state(df).select("id", "seq").collect()] == [("a", 1)]
