@@ -18,7 +18,7 @@ CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Items packed together in one task, about: the rest of a shard's last container is all that sharding wastes.
-SHARD = 20_000
+SHARD = 8192
 
 
 @cache
@@ -52,20 +52,29 @@ class Bins:
         self.items: list[list[int]] = []
         self.fill: list[int] = []
 
+    def next_fit(self) -> None:
+        """Start: each item in turn, into the last container if it has room, else into a new one."""
+        for i, s in enumerate(self.sizes):
+            if not self.items or self.fill[-1] + s > self.capacity:
+                self.items.append([])
+                self.fill.append(0)
+            self.items[-1].append(i)
+            self.fill[-1] += s
+
     def best_fit(self) -> None:
-        """Start: best fit, largest first."""
+        """Another start: largest first, each into the fullest container that has room."""
         free: list[tuple[int, int]] = []  # (room, bin), sorted
         for i in sorted(range(len(self.sizes)), key=lambda i: (-self.sizes[i], i)):
             s = self.sizes[i]
             k = bisect_left(free, (s, -1))
             if k < len(free):
                 room, b = free.pop(k)
-                self.items[b].append(i)
-                self.fill[b] += s
             else:
                 room, b = self.capacity, len(self.items)
-                self.items.append([i])
-                self.fill.append(s)
+                self.items.append([])
+                self.fill.append(0)
+            self.items[b].append(i)
+            self.fill[b] += s
             if room > s:
                 insort(free, (room - s, b))
 
@@ -81,87 +90,121 @@ class Bins:
         self.fill[a] -= d
         self.fill[b] += d
 
-    def _improve(self, low: int, other: int) -> bool:
-        """The best exchange that carries the most from bin low to the fuller bin other; every one raises the
-        sum of squared fills. Move one; one for one; two for one; one for two."""
+    def _exchange(self, mine: list[int], other: int, least: int) -> tuple[int, list[int], list[int]]:
+        """The exchange between a bin's items (sorted by size) and the bin ``other`` that carries the most over, above
+        ``least``: what it carries, what goes, what comes back. Move one; one for one; two for one; one for two."""
         room, s = self.capacity - self.fill[other], self.sizes
-        best, how = 0, None
+        best, take, give = least, [], []
         theirs = sorted(self.items[other], key=s.__getitem__)
         weights = [s[j] for j in theirs]
-        mine = sorted(self.items[low], key=s.__getitem__)
-
-        def closest(x: int) -> int:
-            """Number of the least of theirs that makes room for x (its size at least x - room), if below x."""
-            k = bisect_left(weights, x - room)
-            return k if k < len(weights) and weights[k] < x else -1
-
         for n, i in enumerate(mine):
             x = s[i]
-            if x <= room and x > best:
-                best, how = x, ([i], [])
-            if (k := closest(x)) >= 0 and x - weights[k] > best:
-                best, how = x - weights[k], ([i], [theirs[k]])
+            if best < x <= room:
+                best, take, give = x, [i], []
+            # The least of theirs that makes room for mine.
+            k = bisect_left(weights, x - room)
+            if k < len(weights) and x - weights[k] > best:
+                best, take, give = x - weights[k], [i], [theirs[k]]
             for j in mine[:n]:
-                if (k := closest(x + s[j])) >= 0 and x + s[j] - weights[k] > best:
-                    best, how = x + s[j] - weights[k], ([i, j], [theirs[k]])
+                y = x + s[j]
+                k = bisect_left(weights, y - room)
+                if k < len(weights) and y - weights[k] > best:
+                    best, take, give = y - weights[k], [i, j], [theirs[k]]
             lo, hi = 0, len(weights) - 1
             while lo < hi and best < room:  # two of theirs for one of mine
                 two = weights[lo] + weights[hi]
                 if two < x - room:
                     lo += 1
                 else:
-                    if two < x and x - two > best:
-                        best, how = x - two, ([i], [theirs[lo], theirs[hi]])
+                    if x - two > best:
+                        best, take, give = x - two, [i], [theirs[lo], theirs[hi]]
                     hi -= 1
-        if how:
-            self._move(how[0], low, how[1], other)
-        return bool(how)
-
-    def search(self, tries: int = 64) -> None:
-        """Empties the least filled container into fuller ones, until ``tries`` in a row weren't emptied, no
-        exchange is left or no fewer containers could hold the items. Each exchange raises the sum of squares."""
-        least, stuck, settled = -(-sum(self.sizes) // self.capacity), 0, set()
-        while len(self.items) > max(1, least) and stuck < tries:
-            low = min((b for b in range(len(self.fill)) if b not in settled), key=lambda b: (self.fill[b], b), default=None)
-            if low is None:
-                return
-            again, moved = True, False
-            while again and self.items[low]:
-                again = False
-                for b in sorted((b for b in range(len(self.fill)) if b != low and self.fill[low] <= self.fill[b] < self.capacity), key=lambda b: -self.fill[b]):
-                    while self.items[low] and self.fill[low] <= self.fill[b] < self.capacity and self._improve(low, b):
-                        again = moved = True
-                    if not self.items[low]:
-                        break
-            if moved:
-                settled.clear()
-            if self.items[low]:
-                settled.add(low)
-                stuck += 1
-                continue
-            last = len(self.items) - 1
-            self.items[low], self.fill[low] = self.items[last], self.fill[last]
-            self.items.pop()
-            self.fill.pop()
-            stuck = 0
-
-
-def pack_sizes(sizes: list[int], capacity: int = CAPACITY) -> list[int]:
-    """Container (from 0) of each item; items are at most as large as the capacity; size 0 fits anywhere."""
+            if best >= room:
+                break
+        return best, take, give
+
+    def search(self) -> None:
+        """Empties containers, from the least filled on, into others that are at least as full, by the exchange that
+        carries the most of all exchanges with any of them, until none is left; every exchange raises the sum of squared fills.
+
+        Rounds, each of which tries every container once, go on as long as one empties a container and fewer
+        containers could hold the items.
+        """
+        least = max(1, -(-sum(self.sizes) // self.capacity))
+        emptied = True
+        while emptied and len(self.items) - self.items.count([]) > least:
+            emptied = False
+            free = sorted((self.capacity - f, b) for b, f in enumerate(self.fill) if self.items[b] and f < self.capacity)
+            tried: set[int] = set()
+            left = len(self.items) - self.items.count([])
+            while left > least:
+                k = len(free) - 1
+                while k >= 0 and free[k][1] in tried:
+                    k -= 1
+                if k < 0:
+                    break
+                room, low = free.pop(k)
+                tried.add(low)
+                mine = sorted(self.items[low], key=self.sizes.__getitem__)
+                while mine:
+                    # The tightest container with room for the largest item; else the best exchange of all.
+                    i = mine[-1]
+                    at = bisect_left(free, (self.sizes[i], -1))
+                    if at < len(free):
+                        other, take, give = at, [i], []
+                    else:
+                        best, other, take, give = 0, -1, [], []
+                        for at in range(len(free) - 1, -1, -1):
+                            if best >= free[at][0]:
+                                break  # no container further on has room for more
+                            if self.fill[free[at][1]] >= self.fill[low]:
+                                got, t, g = self._exchange(mine, free[at][1], best)
+                                if t:
+                                    best, other, take, give = got, at, t, g
+                        if not take:
+                            break
+                    _, b = free.pop(other)
+                    self._move(take, low, give, b)
+                    if (r := self.capacity - self.fill[b]) > 0:
+                        insort(free, (r, b))
+                    mine = sorted(self.items[low], key=self.sizes.__getitem__)
+                if mine:
+                    if (r := self.capacity - self.fill[low]) > 0:
+                        insort(free, (r, low))
+                else:
+                    left, emptied = left - 1, True
+        kept = [b for b, items in enumerate(self.items) if items]
+        self.items, self.fill = [self.items[b] for b in kept], [self.fill[b] for b in kept]
+
+
+def pack_sizes(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int]]:
+    """Container (from 0) of each item, before the search and after it; items are at most as large as the capacity;
+    size 0 fits anywhere."""
     if any(s < 0 or s > capacity for s in sizes):
         raise ValueError("an item is larger than the capacity")
+
+    def places(bins: Bins) -> list[int]:
+        out = [0] * len(sizes)
+        for b, items in enumerate(bins.items):
+            for i in items:
+                out[i] = b
+        return out
+
     bins = Bins(sizes, capacity)
-    bins.best_fit()
+    bins.next_fit()
+    start = places(bins)
     bins.search()
-    out = [0] * len(sizes)
-    for b, items in enumerate(bins.items):
-        for i in items:
-            out[i] = b
-    return out
+    if len(bins.items) * capacity >= sum(sizes) + capacity:  # fewer could do: search from another start as well
+        other = Bins(sizes, capacity)
+        other.best_fit()
+        other.search()
+        bins = min(bins, other, key=lambda b: len(b.items))
+    return start, places(bins)
 
 
 def containers(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, path: str = TOKENIZER, shard: int = SHARD) -> DataFrame:
-    """key, piece_no (from 1), n_pieces, first_token (from 0), n_tokens, container_id; one row per document or piece.
+    """key, piece_no (from 1), n_pieces, first_token (from 0), n_tokens, start_id, container_id; one row per document or
+    piece. start_id is the container before the local search, as the items came.
 
     Only a text of more than ``capacity`` tokens is cut, into full pieces and a rest. Full pieces have a
     container each; everything else is packed in shards of about ``shard`` items by hash, so no task grows
@@ -181,19 +224,25 @@ def containers(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, pat
     )
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "key", "piece_no"], kind="stable").reset_index(drop=True)
-        return pdf.drop(columns=["shard", "row"]).assign(container_id=pdf["shard"] * (1 << 32) + pd.Series(pack_sizes(pdf["n_tokens"].tolist(), capacity), dtype="int64"))
+        pdf = pdf.sort_values(["row", "piece_no"], kind="stable").reset_index(drop=True)
+        start, end = (pdf["shard"] * (1 << 32) + pd.Series(x, dtype="int64") for x in pack_sizes(pdf["n_tokens"].tolist(), capacity))
+        return pdf.drop(columns=["shard", "row"]).assign(start_id=start, container_id=end)
 
-    out = pieces.groupBy("shard").applyInPandas(pack, "key string, n_tokens bigint, n_pieces int, piece_no int, first_token bigint, container_id bigint")
-    return out.select(F.col("key").cast(dict(df.dtypes)[key]).alias(key), "piece_no", "n_pieces", "first_token", "n_tokens", "container_id")
+    # As many partitions as shards, which adaptive execution leaves alone.
+    out = pieces.repartition(n_shards, "shard").groupBy("shard").applyInPandas(
+        pack, "key string, n_tokens bigint, n_pieces int, piece_no int, first_token bigint, start_id bigint, container_id bigint"
+    )
+    return out.select(F.col("key").cast(dict(df.dtypes)[key]).alias(key), "piece_no", "n_pieces", "first_token", "n_tokens", "start_id", "container_id")
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Containers, tokens, the fewest containers that could hold them, and the share of room filled."""
+    """Containers, before the search and after it, tokens, the fewest containers that could hold them, and the share of
+    room filled."""
     per = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    start = packed.select("start_id").distinct().agg(F.count("*").alias("n_start"))
     return per.agg(
         F.count("*").alias("n_containers"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"),
         F.ceil(F.coalesce(F.sum("n"), F.lit(0)) / capacity).alias("least_containers"),
         F.round(F.sum("n") / (F.count("*") * capacity), 6).alias("fill"),
-    )
+    ).crossJoin(start)  # one row each
