@@ -1,10 +1,12 @@
 """Subject areas of documents: complement naive Bayes, refined by expectation-maximization.
 
-The classifier looks at sentences. It is trained from labelled documents (complement naive Bayes: a word's
-weight for a subject compares its rate inside the subject with its rate in all others), then refined over
+The classifier looks at sentences. It is trained from labelled documents (complement naive Bayes: a word's weight for a
+subject is the negative logarithm of its rate outside the subject, less that of its rate outside the sentences of
+no subject, which are a class of their own), then refined over
 every sentence of the corpus by expectation-maximization, so that words no labelled document has, in any
 language, get weights too. A document's share of a subject is the share of its sentences that treat it;
-a logistic curve fitted on the labelled documents turns shares into calibrated, independent posteriors.
+a logistic curve fitted on the labelled documents turns shares into calibrated, independent posteriors, and a
+document has the subjects whose posterior is a half or more.
 """
 
 from __future__ import annotations
@@ -27,12 +29,19 @@ BUCKETS = 1 << 22
 MAX_LABELLED = 20_000
 #: EM rounds over the whole corpus.
 ROUNDS = 3
-#: Log odds of a sentence that treats no subject.
+#: Score of a sentence that treats no subject.
 NONE = 1.5
+#: Occurrences that every word has besides those counted.
+SMOOTH = 0.1
+#: Factor of the weights. Complements differ little between subjects, so that sums of plain weights leave sentences
+#: between subjects; few labels (the rarer languages) are then lost in the first round.
+SHARP = 6.0
 #: A word counts if at least this share of its (rate-corrected) occurrences, shrunk by so many, lies in one subject.
 GATE, SHRINK = 0.45, 3
-#: Least share of sentences: shares between a tenth and a quarter do not occur by the problem's statement.
-LEAST_SHARE = 0.175
+#: A document has the subjects of at least this calibrated posterior.
+LEAST_POSTERIOR = 0.5
+#: Weight, in labelled documents, of what the problem states about shares of a tenth and of a quarter.
+PRIOR = 5.0
 #: A word; or the end of a sentence: its mark before white space, a blank line, or a line that starts with a mark.
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?](?=\s|$)|\n(?=\s*\n|[ \t]*[-*#>|•]|[ \t]*\w+:[ \t])")
 
@@ -94,7 +103,7 @@ class Model:
     weights: np.ndarray
 
     def scores(self, f: Flat, n_subjects: int) -> np.ndarray:
-        """sentences x subjects: summed log odds."""
+        """sentences x subjects: summed weights."""
         out = np.zeros((len(f.doc), n_subjects))
         if not len(self.words) or not len(f.word):
             return out
@@ -126,10 +135,11 @@ class Model:
             .sort_values("word")
         )
         c = rows[names].to_numpy(float)
-        a, rest = 0.5, by.sum() - by + none
-        inside = (c + a) / (by + a * size)
-        outside = (rows[["b"]].to_numpy(float) + c.sum(1, keepdims=True) - c + a * max(1, n_subjects - 1)) / (rest + a * max(1, n_subjects - 1) * size)
-        return Model(rows["word"].to_numpy(np.int32), np.log(inside / outside))
+        a = SMOOTH  # all rates below are of complements
+        every = rows[["b"]].to_numpy(float) + c.sum(1, keepdims=True)
+        rest = (every - c + a) / (by.sum() + none - by + a * size)
+        none_rest = (c.sum(1, keepdims=True) + a) / (by.sum() + a * size)
+        return Model(rows["word"].to_numpy(np.int32), SHARP * np.log(none_rest / rest))
 
 
 def _summed(df: DataFrame, n_subjects: int, name: str) -> DataFrame:
@@ -196,18 +206,37 @@ def _shares(feats: DataFrame, shared, n: int, extra: str = "") -> DataFrame:
     return feats.select("doc_id", "ids").mapInPandas(share, "doc_id bigint, k int, share double")
 
 
-def _logistic(x: np.ndarray, yes: np.ndarray, no: np.ndarray) -> tuple[float, float]:
-    """Platt scaling of binned values, with one case of each kind at either end as a prior; Newton's method."""
-    x, yes, no = np.r_[x, 0.0, 1.0], np.r_[yes, 0.0, 1.0], np.r_[no, 1.0, 0.0]
-    a, b = -3.0, 15.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
-        w, g = (yes + no) * p * (1 - p), yes - (yes + no) * p
-        h = np.array([[w.sum() + 1e-6, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 1e-6]])
-        step = np.linalg.solve(h, [g.sum(), (g * x).sum()])
-        a, b = a + float(np.clip(step[0], -2, 2)), b + float(np.clip(step[1], -10, 10))
-        if abs(step).max() < 1e-6:
-            break
+def _log_odds(x: np.ndarray) -> np.ndarray:
+    return np.log((x + 0.01) / (1.01 - x))
+
+
+def _calibrated(x: np.ndarray, yes: np.ndarray, no: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope of the posterior that a document treats a subject, over the log odds of its share.
+
+    Labels are noisy, so a label is a sign only: given at one rate to documents that treat the subject, at another to
+    those that don't. Expectation-maximization over bins of shares finds both rates and the logistic curve
+    (Newton's method). Bins: shares, and how many cases have the label and have it not; and, as the problem is
+    stated, ``PRIOR`` cases of a tenth that don't treat the subject and of a quarter that do.
+    """
+    if not len(x):
+        x, yes, no = np.zeros(1), np.zeros(1), np.zeros(1)
+    t, own = _log_odds(np.r_[x, 0.1, 0.25]), np.r_[yes + no, PRIOR, PRIOR]
+    a, b, hi, lo = -float(t[-2:].mean()) * 4, 4.0, 0.9, 0.01
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(a + b * t, -30, 30)))
+        q = p[: len(x)]
+        with_label, without = q * hi / np.maximum(q * hi + (1 - q) * lo, 1e-300), q * (1 - hi) / np.maximum(q * (1 - hi) + (1 - q) * (1 - lo), 1e-300)
+        z = np.r_[yes * with_label + no * without, 0.0, PRIOR]
+        hi = float(np.clip((yes * with_label).sum() / max(z[: len(x)].sum(), 1e-9), 0.5, 0.999))
+        lo = float(np.clip((yes * (1 - with_label)).sum() / max((yes + no).sum() - z[: len(x)].sum(), 1e-9), 1e-4, 0.3))
+        for _ in range(10):
+            p = 1 / (1 + np.exp(-np.clip(a + b * t, -30, 30)))
+            w, g = own * p * (1 - p), z - own * p
+            h = np.array([[w.sum() + 1e-3, (w * t).sum()], [(w * t).sum(), (w * t * t).sum() + 1e-3]])
+            step = np.clip(np.linalg.solve(h, [g.sum(), (g * t).sum()]), -2, 2)
+            a, b = a + float(step[0]), min(max(b + float(step[1]), 0.5), 20.0)
+            if abs(step).max() < 1e-6:
+                break
     return a, b
 
 
@@ -248,14 +277,15 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
     zero = known.count() * n - sum(r.n for r in bins)
     x = np.array([r.x for r in bins] + [0.0])
     yes = np.array([r.yes for r in bins] + [0], float)
-    a, b = _logistic(x, yes, np.array([r.n for r in bins] + [max(0, zero)], float) - yes)
-    posterior = F.round(1 / (1 + F.exp(-(F.col("share") * b + a))), 6)
+    a, b = _calibrated(x, yes, np.array([r.n for r in bins] + [max(0, zero)], float) - yes)
+    odds = F.log((F.col("share") + 0.01) / (1.01 - F.col("share")))
+    posterior = F.round(1 / (1 + F.exp(-(odds * b + a))), 6)
     subject = F.element_at(F.array(*[F.lit(s) for s in names]), F.col("k") + 1)
     return _shares(feats, shared, n).select("doc_id", subject.alias("subject"), "share", posterior.alias("posterior"))
 
 
 def composition(found: DataFrame) -> DataFrame:
     """Per subject: documents that treat it, their expected number by the posteriors, mean share."""
-    return found.filter(F.col("share") >= LEAST_SHARE).groupBy("subject").agg(
+    return found.filter(F.col("posterior") >= LEAST_POSTERIOR).groupBy("subject").agg(
         F.count("*").alias("n_documents"), F.round(F.sum("posterior"), 3).alias("expected"), F.round(F.avg("share"), 4).alias("mean_share")
     )

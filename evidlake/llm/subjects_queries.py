@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidlake.llm.subjects import LEAST_SHARE, composition, document_subjects
+from evidlake.llm.subjects import LEAST_POSTERIOR, composition, document_subjects
 from evidlake.session import spread, table
 
 
@@ -14,7 +14,7 @@ def _all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
-    return _all(spark, sf).filter(F.col("share") >= LEAST_SHARE).select("doc_id", "subject").distinct()
+    return _all(spark, sf).filter(F.col("posterior") >= LEAST_POSTERIOR).select("doc_id", "subject").distinct()
 
 
 def make_up(spark: SparkSession, sf: str) -> DataFrame:

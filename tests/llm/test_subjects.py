@@ -1,6 +1,8 @@
 import random
 
-from evidlake.llm.subjects import LEAST_SHARE, composition, document_subjects
+import numpy as np
+
+from evidlake.llm.subjects import LEAST_POSTERIOR, _calibrated, composition, document_subjects
 
 VOC = {s: [f"{s}{k}" for k in "abcdefghijklmnopqrstuvwxyz"] for s in ("sport", "law", "food")}
 FILL = ["the", "view", "keeps", "rows", "of", "and", "each", "old", "table", "for"]
@@ -31,7 +33,7 @@ def test_held_out_accuracy(spark):
     got = {}
     for r in out:
         assert 0 < r.share <= 1 and 0 < r.posterior < 1
-        if r.share >= LEAST_SHARE:
+        if r.posterior >= LEAST_POSTERIOR:
             got.setdefault(r.doc_id, set()).add(r.subject)
     held = range(80, 400)
     assert sum(got.get(k) == truth[k] for k in held) / len(held) > 0.95
@@ -45,3 +47,16 @@ def test_nothing_to_learn_from(spark):
     assert document_subjects(d, s.limit(0), none).count() == 0
     assert document_subjects(d.limit(0), s, none).count() == 0
     assert composition(document_subjects(d, s, none)).count() == 0
+
+
+def test_calibration_sees_through_noisy_labels():
+    rng = np.random.default_rng(3)
+    treats = rng.random(5000) < 0.2
+    share = np.where(treats, rng.uniform(0.25, 1, 5000), rng.uniform(0, 0.1, 5000)).round(2)
+    label = np.where(treats, rng.random(5000) < 0.8, rng.random(5000) < 0.03)  # a fifth is missing, some are wrong
+    x = np.unique(share)
+    a, b = _calibrated(x, np.array([label[share == v].sum() for v in x], float), np.array([(~label)[share == v].sum() for v in x], float))
+    p = 1 / (1 + np.exp(-(a + b * np.log((share + 0.01) / (1.01 - share)))))
+    assert ((p >= 0.5) == treats).all()
+    a, b = _calibrated(np.zeros(0), np.zeros(0), np.zeros(0))
+    assert a + b * np.log(0.09 / 0.91) < 0 < a + b * np.log(0.26 / 0.76)
