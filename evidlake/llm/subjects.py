@@ -279,7 +279,7 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
     yes = np.array([r.yes for r in bins] + [0], float)
     a, b = _calibrated(x, yes, np.array([r.n for r in bins] + [max(0, zero)], float) - yes)
     odds = F.log((F.col("share") + 0.01) / (1.01 - F.col("share")))
-    posterior = F.round(1 / (1 + F.exp(-(odds * b + a))), 6)
+    posterior = F.round(F.greatest(F.least(1 / (1 + F.exp(-(odds * b + a))), F.lit(1 - 1e-6)), F.lit(1e-6)), 6)  # never certain
     subject = F.element_at(F.array(*[F.lit(s) for s in names]), F.col("k") + 1)
     return _shares(feats, shared, n).select("doc_id", subject.alias("subject"), "share", posterior.alias("posterior"))
 
