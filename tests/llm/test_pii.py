@@ -1,6 +1,6 @@
 import pytest
 
-from evidlake.llm.pii import find_pii, mask_columns, masked, pii_mentions
+from evidlake.llm.pii import Names, find_pii, mask_columns, masked, pii_mentions
 
 
 @pytest.mark.parametrize(
@@ -23,6 +23,13 @@ from evidlake.llm.pii import find_pii, mask_columns, masked, pii_mentions
         ("The Street table maps Lane 25 to Road type 48; Main Loop 7 and Fast Lane 5", []),
         ("Mr Anna J. Brinander met Dr. Quenumbra, Elena and P. HULETTE", [("person", "Anna J. Brinander"), ("person", "Quenumbra, Elena"), ("person", "P. HULETTE")]),
         ("Blue Harbor, the Release Captain; Brinander alone; Anna alone; brinander.anna@example.org", [("email", "brinander.anna@example.org")]),
+        ("Ask John Smith or Margaret A. Thompson-Reid; Dr. Priya Natarajan, Prof. Xiu Li and Mrs O. Adeyemi agreed.", [("person", "John Smith"), ("person", "Margaret A. Thompson-Reid"), ("person", "Priya Natarajan"), ("person", "Xiu Li"), ("person", "O. Adeyemi")]),
+        ("Dear Wei Zhang,\nthe build is red. Regards,\nAgnieszka Nowak", [("person", "Wei Zhang"), ("person", "Agnieszka Nowak")]),
+        ("Dear Team Leads, Daniel The Great; Dr. Smith; Mr Robot; john smith; Release Captain Blue Harbor", []),
+        ("IBAN DE89 3704 0044 0532 0130 00, not IBAN DE89 3704 0044 0532 0130 01", [("id_number", "DE89 3704 0044 0532 0130 00")]),
+        ("tel:(617) 555-0171 mailto:a@b.example", [("phone", "(617) 555-0171"), ("email", "a@b.example")]),
+        ("passport" + " " * 300 + "C34285684", [("id_number", "C34285684")]),
+        ("x" * 65 + "@b.example, " + "y" * 64 + "@" + "sub." * 40 + "example", [("email", "y" * 64 + "@" + "sub." * 40 + "example")]),
         ("", []),
         (None, []),
     ],
@@ -40,6 +47,12 @@ def test_long_and_odd_texts():
     assert masked("x\r\n​SSN 944-08-2215!") == "x\r\n​SSN [ID_NUMBER]!"
 
 
+def test_other_names():
+    names = Names(given=("Zed",), surnames=("O'Quux",))
+    assert [(k, "Zed O'Quux met z. o'quux; Anna Brinander"[a:b]) for a, b, k in find_pii("Zed O'Quux met z. o'quux; Anna Brinander", names)] == [("person", "Zed O'Quux")]
+    assert masked("ask O'QUUX, Zed", names) == "ask [PERSON]"
+
+
 def test_tables(spark):
     df = spark.createDataFrame([("a", "mail x@y.example", None, 1), ("a", "mail x@y.example", None, 1), (None, None, "by Anna Brinander", None)], "id string, content string, summary string, mention int")
     got = pii_mentions(df, "id", ["content", "summary"]).distinct().collect()
