@@ -31,8 +31,11 @@ BANDS, ROWS = 48, 3
 #: unrelated ones in 72 (6).
 BITS = BANDS * ROWS
 RADIUS = 57
-#: A shard with more records than this is compared in blocks, in as many groups as there are pairs of blocks.
+#: A shard that is estimated to have more than twice as many records is compared in blocks of about so many, in as many
+#: groups as there are pairs of blocks.
 BLOCK = 1024
+#: One record of so many, by hash, tells how large shards are. It decides only how they are cut, never what is compared.
+SAMPLE = 64
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 2**32, BITS, np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 2**32, BITS, np.uint64).astype(np.uint32)
@@ -110,27 +113,8 @@ def sketches(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("id", "text").mapInPandas(make, "id string, set_key binary, runs array<int>, finger binary, bands array<int>")
 
 
-def _shard_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs within small shards; members of large ones come out as they are, with their block."""
-    for df in sorted_groups(batches, ["shard"]):
-        a, b, far = [], [], []
-        n, f = df["n"].tolist(), [int.from_bytes(x, "big") for x in df["finger"]]
-        for lo, hi in each_group(df, ["shard"]):
-            if hi - lo > BLOCK:
-                far.append(df.iloc[lo:hi].assign(block=np.arange(hi - lo) // BLOCK, blocks=-(-(hi - lo) // BLOCK)))
-                continue
-            tree = BKTree()
-            for k in range(lo, hi):
-                for other in tree.within(f[k], RADIUS):
-                    a.append(other)
-                    b.append(n[k])
-                tree.add(f[k], n[k])
-        yield pd.DataFrame({"a": a, "b": b}).astype("Int64").drop_duplicates().reindex(columns=_PAIR)
-        for x in far:
-            yield x.reindex(columns=_PAIR)
-
-
-def _block_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _tree_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs within the radius: within a shard or a block (one = two), or between two blocks of a shard."""
     for df in sorted_groups(batches, ["shard", "one", "two"]):
         a, b = [], []
         n, f, block = df["n"].tolist(), [int.from_bytes(x, "big") for x in df["finger"]], df["block"].tolist()
@@ -147,10 +131,6 @@ def _block_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
 
-_PAIR = ["a", "b", "shard", "n", "finger", "block", "blocks"]
-_PAIR_DDL = "a bigint, b bigint, shard bigint, n bigint, finger binary, block int, blocks int"
-
-
 class NearDuplicates:
     """Near-duplicates of (id, text): ``pairs()`` of ids and ``groups()``.
 
@@ -170,15 +150,18 @@ class NearDuplicates:
         shards = sig.join(reps, "n", "left_semi").select("n", "finger", F.posexplode("bands").alias("band", "value")).select(
             (F.col("band") * F.lit(1 << 32).cast("bigint") + F.col("value")).alias("shard"), "n", "finger"
         )
-        found = written(
-            shards.repartition("shard").sortWithinPartitions("shard").mapInPandas(_shard_pairs, _PAIR_DDL), "found"
-        )
-        blocks = found.filter("n is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        blocks = blocks.select(
-            "shard", "n", "finger", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
-        )
-        hot = blocks.repartition("shard", "one", "two").sortWithinPartitions("shard", "one", "two").mapInPandas(_block_pairs, "a bigint, b bigint")
-        cand = found.filter("a is not null").select("a", "b").unionByName(hot)
+        size = shards.filter(F.pmod(F.xxhash64("n"), F.lit(SAMPLE)) == 0).groupBy("shard").agg((F.count("*") * SAMPLE).alias("size")).filter(F.col("size") > 2 * BLOCK)
+        size = written(size.select("shard", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "large")
+        none = F.lit(0)
+        if size.isEmpty():
+            rows = shards.withColumns({"block": none, "one": none, "two": none})
+        else:
+            # A member of a large shard meets each block once.
+            at = shards.join(size, "shard", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("n", F.lit(7)), F.col("blocks")), F.lit(0)).cast("int"))
+            at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+            rows = at.select("shard", "n", "finger", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+        key = ["shard", "one", "two"]
+        cand = rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(_tree_pairs, "a bigint, b bigint")
         cand = cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         need = sig.select("n", "set_key", "runs")
         both = cand.join(need.toDF("a", "key_a", "runs_a"), "a").join(need.toDF("b", "key_b", "runs_b"), "b")

@@ -2,7 +2,8 @@
 
 import random
 
-from evidlake.llm.near import BLOCK, BKTree, NearDuplicates, entry_texts
+from evidlake.llm import near as m
+from evidlake.llm.near import BKTree, NearDuplicates, entry_texts
 from evidlake.llm.words import words
 
 
@@ -39,9 +40,10 @@ def test_pairs_and_groups(spark):
     assert all(group[a] == group[b] for a, b in got)
 
 
-def test_large_shards_are_compared_in_blocks(spark):
+def test_large_shards_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK", 200)
     base = [f"x{i}" for i in range(40)]
-    n = BLOCK + 40
+    n = 1064
     rows = [(f"{k:05d}", " ".join([*base, f"y{k}"])) for k in range(n)]
     near = NearDuplicates(spark.createDataFrame(rows, "id string, text string"), 3, 0.8)
     assert near.links.count() == n * (n - 1) // 2
