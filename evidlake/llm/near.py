@@ -161,7 +161,8 @@ class NearDuplicates:
             at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
             rows = at.select("shard", "n", "finger", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
         key = ["shard", "one", "two"]
-        cand = rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(_tree_pairs, "a bigint, b bigint")
+        # Written, so that the shuffle of the shards is free to go before the joins.
+        cand = written(rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(_tree_pairs, "a bigint, b bigint"), "found")
         cand = cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         need = sig.select("n", "set_key", "runs")
         both = cand.join(need.toDF("a", "key_a", "runs_a"), "a").join(need.toDF("b", "key_b", "runs_b"), "b")
