@@ -41,11 +41,6 @@ def ranked(df: DataFrame, by: list[str], score: str, k: int | None, name: str =
     return out if k is None else out.filter(F.col(name) <= k)
 
 
-def bounded(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; a larger one is joined by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def phrases(queries: DataFrame) -> DataFrame:
     """(qid, query) -> one row per token: qid, term (number of the white-space separated term), n, j, token.
 
@@ -54,19 +49,39 @@ def phrases(queries: DataFrame) -> DataFrame:
     return terms.filter(F.size("toks") > 0).select("qid", "term", F.size("toks").alias("n"), F.posexplode("toks").alias("j", "token"))
 
 
+#: So many different query tokens are told apart while a text is tokenized; more of them are joined.
+FEW_TOKENS = 256
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """df for several readers: kept by the driver if it has at most QUERY_BLOCK rows, else written."""
+    rows = df.limit(QUERY_BLOCK + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= QUERY_BLOCK else written(df, name)
+
+
 def full_text(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(id, text) x (qid, query) -> qid, id, score: every document that holds all terms, with its BM25 score.
 
-    Implicit AND of phrases; Okapi BM25 (k1 1.2, b 0.75) with ln(1 + (N - df + 0.5) / (df + 0.5)). The
-    query tokens are broadcast if their number is bounded, so only occurrences of them are shuffled. Null texts count as empty.
+    Implicit AND of phrases; Okapi BM25 (k1 1.2, b 0.75) with ln(1 + (N - df + 0.5) / (df + 0.5)). Texts are tokenized
+    once; of each its length and the occurrences of query tokens go on. Null texts count as empty.
     """
+    spark = docs.sparkSession
+    q = small(phrases(queries), "phrases")
+    want = [r[0] for r in q.select("token").distinct().limit(FEW_TOKENS + 1).collect()]
     # The length is a column of its own, so that exploded rows carry it and not the tokens.
     t = docs.select("id", tokens(F.coalesce("text", F.lit(""))).alias("toks")).withColumn("len", F.size("toks"))
-    stats = t.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    q = bounded(phrases(queries))
+    if len(want) <= FEW_TOKENS:
+        placed = F.transform("toks", lambda x, i: F.struct(i.alias("pos"), x.alias("token")))
+        here = F.filter(placed, lambda x: F.array_contains(F.array(*map(F.lit, want)).cast("array<string>"), x["token"]))
+        t = written(t.select("id", "len", here.alias("here")), "occurrences")
+        found = t.select("id", "len", F.inline("here"))
+    else:
+        found = t.select("id", "len", F.posexplode("toks").alias("pos", "token"))
+    n_docs, avg_len = t.agg(F.count("*"), F.avg("len")).first()
+    if not n_docs:
+        return spark.createDataFrame([], f"qid {dict(queries.dtypes)['qid']}, id {dict(docs.dtypes)['id']}, score double")
     hits = (
-        t.select("id", "len", F.posexplode("toks").alias("pos", "token"))
-        .join(q, "token")
+        found.join(q, "token")
         .groupBy("qid", "term", "n", "id", "len", (F.col("pos") - F.col("j")).alias("start")).agg(F.countDistinct("j").alias("m"))
         .filter("m = n")
         .groupBy("qid", "term", "id", "len").agg(F.count("*").alias("tf"))
@@ -74,11 +89,11 @@ def full_text(docs: DataFrame, queries: DataFrame) -> DataFrame:
     hits = written(hits, "hits")  # small, and read twice
     df = hits.groupBy("qid", "term").agg(F.count("*").alias("df"))
     need = q.groupBy("qid").agg(F.countDistinct("term").alias("n_terms"))
-    tf, n, d = F.col("tf"), F.col("n_docs"), F.col("df")
+    tf, n, d = F.col("tf"), F.lit(n_docs), F.col("df")
     idf = F.log(1 + (n - d + 0.5) / (d + 0.5))
-    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(avg_len)))
     return (
-        hits.join(df, ["qid", "term"]).crossJoin(F.broadcast(stats))  # one row
+        hits.join(df, ["qid", "term"])
         .groupBy("qid", "id").agg(F.sum(part).alias("score"), F.count("*").alias("m"))
         .join(need, "qid").filter("m = n_terms").select("qid", "id", "score")
     )
@@ -89,58 +104,125 @@ def tie_run(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.rank().over(W.partitionBy("qid").orderBy(F.desc(F.round("score", 9)))).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def similarities(vectors: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
-    """(id, embedding) x (qid, embedding) -> qid, id, score: exact cosine similarity.
+def _unit(rows: list, dim: int) -> np.ndarray:
+    """Vectors of length 1; 0 for those of another dimension, with non-finite values or of norm 0."""
+    m = np.zeros((len(rows), dim))
+    for i, v in enumerate(rows):
+        if v is not None and len(v) == dim:
+            m[i] = v
+    m[~np.isfinite(m).all(axis=1)] = 0
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _in_blocks(queries: DataFrame, of) -> DataFrame | None:
+    """The union of ``of`` over blocks of the queries, or None if they fit in one."""
+    if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
+        return None
+    parts = queries.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(-(-queries.count() // (QUERY_BLOCK // 2)))))
+    out = None
+    for r in parts.select("_b").distinct().collect():
+        one = of(parts.filter(F.col("_b") == r["_b"]).drop("_b"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+class _Best:
+    """The best k rows per query of what came so far: score descending, then id; of rows of one id the first."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.rows = k, [[] for _ in range(n)]
+
+    def add(self, scores: np.ndarray, key: np.ndarray, label: np.ndarray) -> None:
+        """scores: queries x rows."""
+        wide = min(scores.shape[1], self.k)
+        if not wide:
+            return
+        floor = -np.partition(-scores, wide - 1, axis=1)[:, wide - 1]
+        for i, row in enumerate(scores):
+            if len(self.rows[i]) >= self.k and row.max() < self.rows[i][-1][0]:
+                continue
+            at = np.flatnonzero(row >= floor[i])
+            if len(set(key[at])) < self.k:  # several rows of one id
+                at = np.arange(len(row))
+            best: dict = {}
+            for x, y, z in sorted([*((row[j], key[j], label[j]) for j in at), *self.rows[i]], key=lambda r: (-r[0], r[2])):
+                best.setdefault(y, (x, y, z))
+            self.rows[i] = sorted(best.values(), key=lambda r: (-r[0], r[1]))[: self.k]
+
+
+def similarities(vectors: DataFrame, queries: DataFrame, k: int | None = None, digits: int | None = None, label: str | None = None) -> DataFrame:
+    """(id, embedding) x (qid, embedding) -> qid, id, score: exact cosine similarity, rounded to ``digits``.
 
     0 for vectors of another length, with non-finite values or of norm 0; rows stay. Query vectors go out in
-    blocks of QUERY_BLOCK; with k, each batch keeps its own first k per query before anything is shuffled.
+    blocks of QUERY_BLOCK. With k, a task gives only its own first k per query, ids once each; ``label``
+    is a column that comes along, of several rows of an id that of the best (then the least label).
     """
-    ids = queries.select("qid", "embedding").limit(QUERY_BLOCK + 1).collect()
-    if len(ids) > QUERY_BLOCK:
-        parts = queries.withColumn("b", F.pmod(F.xxhash64("qid"), F.lit(-(-queries.count() // (QUERY_BLOCK // 2)))))
-        out = None
-        for r in parts.select("b").distinct().collect():
-            one = similarities(vectors, parts.filter(F.col("b") == r.b).drop("b"), k)
-            out = one if out is None else out.unionByName(one)
-        return out
-    qids, dim = [r.qid for r in ids], max((len(r.embedding or ()) for r in ids), default=0)
-
-    def unit(rows: list) -> np.ndarray:
-        m = np.zeros((len(rows), dim))
-        for i, v in enumerate(rows):
-            if v is not None and len(v) == dim:
-                m[i] = v
-        m[~np.isfinite(m).all(axis=1)] = 0
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-    q = unit([r.embedding for r in ids])
+    done = _in_blocks(queries, lambda part: similarities(vectors, part, k, digits, label))
+    if done is not None:
+        return done
+    rows = queries.select("qid", "embedding").collect()  # QUERY_BLOCK at most
+    qids, dim = [r.qid for r in rows], max((len(r.embedding or ()) for r in rows), default=0)
+    q = _unit([r.embedding for r in rows], dim)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = _Best(len(qids), k) if k else None
         for df in batches:
-            s, key = q @ unit(df["embedding"].tolist()).T, df["id"].to_numpy()
-            order = np.argsort(key, kind="stable")
-            for i, qid in enumerate(qids):
-                o = order[np.argsort(-s[i][order], kind="stable")][: k or len(order)]
-                yield pd.DataFrame({"qid": qid, "id": key[o], "score": s[i][o]})
+            s, key = q @ _unit(df["embedding"].tolist(), dim).T, df["id"].to_numpy()
+            s = s if digits is None else np.round(s, digits)
+            if best:
+                best.add(s, key, df["label"].to_numpy() if label else np.zeros(len(df)))
+            else:
+                yield pd.DataFrame({"qid": np.repeat(qids, len(key)), "id": np.tile(key, len(qids)), "score": s.reshape(-1)})
+        if best:
+            out = [(qids[i], y, x, *([z] if label else [])) for i, rs in enumerate(best.rows) for x, y, z in rs]
+            yield pd.DataFrame(out, columns=["qid", "id", "score", *(["label"] if label else [])])
 
     kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["id"]
+    if label and k:
+        out = vectors.select("id", "embedding", F.col(label).alias("label")).mapInPandas(score, f"qid {kinds[0]}, id {kinds[1]}, score double, label {dict(vectors.dtypes)[label]}")
+        return out.withColumnRenamed("label", label)
     return vectors.select("id", "embedding").mapInPandas(score, f"qid {kinds[0]}, id {kinds[1]}, score double")
 
 
-def ranks_of(candidates: DataFrame, scored: DataFrame) -> DataFrame:
-    """candidates (qid, id, score) -> qid, id, rank among all of ``scored`` (qid, id, score), by counting what is
-    before them; no query's scores are ever sorted or brought together. Candidates are few per query."""
-    c = bounded(candidates.select("qid", F.col("id").alias("_id"), F.col("score").alias("_score")))
-    before = (F.col("score") > F.col("_score")) | ((F.col("score") == F.col("_score")) & (F.col("id") < F.col("_id")))
-    n = scored.join(c, "qid").groupBy("qid", "_id").agg(F.count_if(before).alias("n"))
-    return n.select("qid", F.col("_id").alias("id"), (F.col("n") + 1).alias("rank"))
+def ranks_of(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, digits: int) -> DataFrame:
+    """candidates (qid, id) -> qid, id, score, rank of those that have a vector, among all vectors.
 
+    The candidates' own scores go out sorted; a task counts, for each, what is before it (score descending, then id) and
+    gives one row per candidate. No query's scores are ever brought together. Candidates are few per query.
+    """
+    done = _in_blocks(queries, lambda part: ranks_of(candidates, vectors, part, digits))
+    if done is not None:
+        return done
+    own = vectors.join(candidates.select("id").distinct(), "id", "left_semi")
+    own = similarities(own, queries, None, digits).join(candidates.select("qid", "id"), ["qid", "id"], "left_semi").collect()  # as many as candidates
+    rows = queries.select("qid", "embedding").collect()
+    dim = max((len(r.embedding or ()) for r in rows), default=0)
+    q, number = _unit([r.embedding for r in rows], dim), {r.qid: i for i, r in enumerate(rows)}
+    of: list[list[tuple]] = [[] for _ in rows]
+    for r in own:
+        of[number[r.qid]].append((r.score, r.id))
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast(([np.array([x for x, _ in c]) for c in of], [[y for _, y in c] for c in of]))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores, ids = shared.value
+        n = [np.zeros(len(c), np.int64) for c in scores]
+        for df in batches:
+            s, key = np.round(q @ _unit(df["embedding"].tolist(), dim).T, digits), df["id"].to_numpy()
+            for i, c in enumerate(scores):
+                if len(c):
+                    up = np.sort(s[i])
+                    lo, hi = np.searchsorted(up, c), np.searchsorted(up, c, side="right")
+                    n[i] += len(up) - hi
+                    for j in np.flatnonzero(hi > lo):  # equal scores: by id
+                        n[i][j] += int((key[s[i] == c[j]] < ids[i][j]).sum())
+        out = [(rows[i].qid, y, float(x), int(k)) for i in range(len(rows)) for x, y, k in zip(scores[i], ids[i], n[i], strict=True)]
+        yield pd.DataFrame(out, columns=["qid", "id", "score", "n"])
 
-def best_cue(cue_scores: DataFrame) -> DataFrame:
-    """(qid, id, cue, score) -> the best cue per entry: score descending, then cue text."""
-    w = W.partitionBy("qid", "id").orderBy(F.desc("score"), "cue")
-    return cue_scores.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+    kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["id"]
+    counts = vectors.select("id", "embedding").mapInPandas(count, f"qid {kinds[0]}, id {kinds[1]}, score double, n bigint")
+    return counts.groupBy("qid", "id").agg(F.first("score").alias("score"), (F.sum("n") + 1).alias("rank"))
 
 
 def fuse(text: DataFrame, semantic: DataFrame, cues: DataFrame, limit: int) -> DataFrame:

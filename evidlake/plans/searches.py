@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidlake.operators import search as s
 from evidlake.plans import domain as d
-from evidlake.session import table, written
+from evidlake.session import table
 
 LIMIT = 10
 #: The fixed text queries: single words, several, a phrase by hyphen, one without any hit.
@@ -55,22 +55,28 @@ def fts_ties(spark, sf):
 
 
 def _lanes(spark, sf):
-    """The text, semantic and cue lane; what several of them or the fusion read is written once."""
-    q = written(d.doc_queries(spark, sf), "queries")
-    vectors, docs, c = d.live_vectors(spark, sf), _docs(spark, sf), d.cues(spark, sf)
-    of = lambda v, k=None: s.similarities(v, q.select("qid", "embedding"), k).withColumn("score", F.round("score", 9))
+    """The text, semantic and cue lane. The vectors are scored twice: for the first of each lane, and to count what is
+    before the candidates of all lanes."""
+    q = s.small(d.doc_queries(spark, sf), "queries")
+    vectors, docs, v = d.live_vectors(spark, sf), _docs(spark, sf), q.select("qid", "embedding")
     text = s.full_text(docs, q.select("qid", "query")).withColumn("score", F.round("score", 9))
-    text = written(s.ranked(text, ["qid"], "score", LIMIT), "text")
-    cue = of(c.select("id", "embedding")).join(c.select("id", "cue", "entry"), "id").select("qid", F.col("entry").alias("id"), "cue", "score")
-    cue = written(s.ranked(s.best_cue(cue.join(docs.select("id"), "id", "left_semi")), ["qid"], "score", 2 * LIMIT), "cues")
-    top = s.ranked(of(vectors, 2 * LIMIT), ["qid"], "score", 2 * LIMIT)
-    ids = written(text.select("qid", "id").unionByName(cue.select("qid", "id")).unionByName(top.select("qid", "id")).distinct(), "ids")
-    own = of(vectors.join(ids.select("id").distinct(), "id", "left_semi")).join(ids, ["qid", "id"], "left_semi")
-    return text, s.ranks_of(written(own, "candidates"), of(vectors)), cue
+    text = s.small(s.ranked(text, ["qid"], "score", LIMIT), "text")
+    cue = _cues(spark, sf, docs, v)
+    top = s.similarities(vectors, v, 2 * LIMIT, 9)
+    ids = s.small(text.select("qid", "id").unionByName(cue.select("qid", "id")).unionByName(s.ranked(top, ["qid"], "score", 2 * LIMIT).select("qid", "id")).distinct(), "ids")
+    return text, s.ranks_of(ids, vectors, v, 9), cue
+
+
+def _cues(spark, sf, docs, v):
+    """The best cue of each of the first live entries."""
+    c = d.cues(spark, sf).select(F.col("entry").alias("id"), "cue", "embedding").join(docs.select("id"), "id", "left_semi")
+    first = s.similarities(c, v, 2 * LIMIT, 9, "cue")
+    best = first.groupBy("qid", "id").agg(F.max("score").alias("score"), F.min_by("cue", F.struct(-F.col("score"), "cue")).alias("cue"))
+    return s.small(s.ranked(best, ["qid"], "score", 2 * LIMIT), "cues")
 
 
 def cue_lane(spark, sf):
-    return _out(_lanes(spark, sf)[2])
+    return _out(_cues(spark, sf, _docs(spark, sf), d.doc_queries(spark, sf).select("qid", "embedding")).select("qid", "id", "cue", "score", "rank"))
 
 
 def fused(spark, sf):
