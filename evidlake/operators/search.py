@@ -54,9 +54,9 @@ FEW_TOKENS = 256
 
 
 def small(df: DataFrame, name: str) -> DataFrame:
-    """df for several readers: kept by the driver if it has at most QUERY_BLOCK rows, else written."""
-    rows = df.limit(QUERY_BLOCK + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= QUERY_BLOCK else written(df, name)
+    """df for several readers: kept by the driver if it has at most 4 * QUERY_BLOCK rows, else written."""
+    rows = df.limit(4 * QUERY_BLOCK + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= 4 * QUERY_BLOCK else written(df, name)
 
 
 def full_text(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -65,7 +65,6 @@ def full_text(docs: DataFrame, queries: DataFrame) -> DataFrame:
     Implicit AND of phrases; Okapi BM25 (k1 1.2, b 0.75) with ln(1 + (N - df + 0.5) / (df + 0.5)). Texts are tokenized
     once; of each its length and the occurrences of query tokens go on. Null texts count as empty.
     """
-    spark = docs.sparkSession
     q = small(phrases(queries), "phrases")
     want = [r[0] for r in q.select("token").distinct().limit(FEW_TOKENS + 1).collect()]
     # The length is a column of its own, so that exploded rows carry it and not the tokens.
@@ -77,15 +76,17 @@ def full_text(docs: DataFrame, queries: DataFrame) -> DataFrame:
         found = t.select("id", "len", F.inline("here"))
     else:
         found = t.select("id", "len", F.posexplode("toks").alias("pos", "token"))
-    n_docs, avg_len = t.agg(F.count("*"), F.avg("len")).first()
-    if not n_docs:
-        return spark.createDataFrame([], f"qid {dict(queries.dtypes)['qid']}, id {dict(docs.dtypes)['id']}, score double")
-    hits = (
-        found.join(q, "token")
+    one = found.join(q.filter("n = 1"), "token").groupBy("qid", "term", "id", "len").agg(F.count("*").alias("tf"))
+    phrase = (
+        found.join(q.filter("n > 1"), "token")
         .groupBy("qid", "term", "n", "id", "len", (F.col("pos") - F.col("j")).alias("start")).agg(F.countDistinct("j").alias("m"))
         .filter("m = n")
         .groupBy("qid", "term", "id", "len").agg(F.count("*").alias("tf"))
     )
+    hits = one.unionByName(phrase) if not q.filter("n > 1").isEmpty() else one
+    n_docs, avg_len = t.agg(F.count("*"), F.avg("len")).first()
+    if not n_docs:
+        return docs.sparkSession.createDataFrame([], f"qid {dict(queries.dtypes)['qid']}, id {dict(docs.dtypes)['id']}, score double")
     hits = written(hits, "hits")  # small, and read twice
     df = hits.groupBy("qid", "term").agg(F.count("*").alias("df"))
     need = q.groupBy("qid").agg(F.countDistinct("term").alias("n_terms"))
@@ -115,10 +116,11 @@ def _unit(rows: list, dim: int) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _in_blocks(queries: DataFrame, of) -> DataFrame | None:
-    """The union of ``of`` over blocks of the queries, or None if they fit in one."""
-    if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
-        return None
+def _in_blocks(queries: DataFrame, of) -> DataFrame | list:
+    """The rows of the queries if they fit in one block, else the union of ``of`` over blocks."""
+    rows = queries.select("qid", "embedding").limit(QUERY_BLOCK + 1).collect()
+    if len(rows) <= QUERY_BLOCK:
+        return rows
     parts = queries.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(-(-queries.count() // (QUERY_BLOCK // 2)))))
     out = None
     for r in parts.select("_b").distinct().collect():
@@ -158,10 +160,9 @@ def similarities(vectors: DataFrame, queries: DataFrame, k: int | None = None, d
     blocks of QUERY_BLOCK. With k, a task gives only its own first k per query, ids once each; ``label``
     is a column that comes along, of several rows of an id that of the best (then the least label).
     """
-    done = _in_blocks(queries, lambda part: similarities(vectors, part, k, digits, label))
-    if done is not None:
-        return done
-    rows = queries.select("qid", "embedding").collect()  # QUERY_BLOCK at most
+    rows = _in_blocks(queries, lambda part: similarities(vectors, part, k, digits, label))
+    if not isinstance(rows, list):
+        return rows
     qids, dim = [r.qid for r in rows], max((len(r.embedding or ()) for r in rows), default=0)
     q = _unit([r.embedding for r in rows], dim)
 
@@ -191,12 +192,11 @@ def ranks_of(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, digi
     The candidates' own scores go out sorted; a task counts, for each, what is before it (score descending, then id) and
     gives one row per candidate. No query's scores are ever brought together. Candidates are few per query.
     """
-    done = _in_blocks(queries, lambda part: ranks_of(candidates, vectors, part, digits))
-    if done is not None:
-        return done
+    rows = _in_blocks(queries, lambda part: ranks_of(candidates, vectors, part, digits))
+    if not isinstance(rows, list):
+        return rows
     own = vectors.join(candidates.select("id").distinct(), "id", "left_semi")
     own = similarities(own, queries, None, digits).join(candidates.select("qid", "id"), ["qid", "id"], "left_semi").collect()  # as many as candidates
-    rows = queries.select("qid", "embedding").collect()
     dim = max((len(r.embedding or ()) for r in rows), default=0)
     q, number = _unit([r.embedding for r in rows], dim), {r.qid: i for i, r in enumerate(rows)}
     of: list[list[tuple]] = [[] for _ in rows]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidlake.session import spread, table
+from evidlake.session import table
 
 #: Times are measured against this instant, never against the clock.
 AS_OF = "2026-01-01 00:00:00Z"
@@ -13,7 +13,7 @@ AS_OF = "2026-01-01 00:00:00Z"
 
 def doc_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as entries: every tenth is stale."""
-    d = spread(table(spark, sf, "documents").select("doc_id", "source", "doc_type", "text", "ingested_at"))
+    d = table(spark, sf, "documents").select("doc_id", "source", "doc_type", "text", "ingested_at")
     return d.select(
         F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("id"),
         "doc_id",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidlake.operators import search as s
 from evidlake.plans import domain as d
-from evidlake.session import table
+from evidlake.session import spread, table
 
 LIMIT = 10
 #: The fixed text queries: single words, several, a phrase by hyphen, one without any hit.
@@ -37,7 +39,7 @@ def semantic_filtered(spark, sf):
 
 
 def text_scores(spark, sf):
-    return s.full_text(_docs(spark, sf), _text_queries(spark))
+    return s.full_text(spread(_docs(spark, sf)), _text_queries(spark))
 
 
 def fts(spark, sf):
@@ -59,11 +61,18 @@ def _lanes(spark, sf):
     before the candidates of all lanes."""
     q = s.small(d.doc_queries(spark, sf), "queries")
     vectors, docs, v = d.live_vectors(spark, sf), _docs(spark, sf), q.select("qid", "embedding")
-    text = s.full_text(docs, q.select("qid", "query")).withColumn("score", F.round("score", 9))
-    text = s.small(s.ranked(text, ["qid"], "score", LIMIT), "text")
-    cue = _cues(spark, sf, docs, v)
-    top = s.similarities(vectors, v, 2 * LIMIT, 9)
-    ids = s.small(text.select("qid", "id").unionByName(cue.select("qid", "id")).unionByName(s.ranked(top, ["qid"], "score", 2 * LIMIT).select("qid", "id")).distinct(), "ids")
+
+    def words():
+        text = s.full_text(spread(docs), q.select("qid", "query")).withColumn("score", F.round("score", 9))
+        return s.small(s.ranked(text, ["qid"], "score", LIMIT), "text")
+
+    # The lanes don't wait for each other.
+    with ThreadPoolExecutor(3) as pool:
+        text, cue, top = [f.result() for f in [
+            pool.submit(words), pool.submit(_cues, spark, sf, docs, v),
+            pool.submit(lambda: s.small(s.ranked(s.similarities(vectors, v, 2 * LIMIT, 9), ["qid"], "score", 2 * LIMIT).select("qid", "id"), "top")),
+        ]]
+    ids = text.select("qid", "id").unionByName(cue.select("qid", "id")).unionByName(top).distinct()
     return text, s.ranks_of(ids, vectors, v, 9), cue
 
 
