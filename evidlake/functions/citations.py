@@ -10,13 +10,13 @@ _RANGE = r"^(.*):([^:]*)$"
 
 def parsed(citation: Column) -> Column:
     """struct(file, start, stop, reason). Without a colon the whole is the file; after the last colon
-    ``start-end`` must be two decimal numbers with start < end, else reason says ``malformed_range``."""
+    ``start-end`` must be two decimal numbers with start < end, else reason says ``malformed_citation``."""
     tail = F.regexp_extract(citation, _RANGE, 2)
     ranged = citation.contains(":")
     a = F.regexp_extract(tail, r"^(\d{1,18})-(\d{1,18})$", 1).try_cast("bigint")
     b = F.regexp_extract(tail, r"^(\d{1,18})-(\d{1,18})$", 2).try_cast("bigint")
     ok = a.isNotNull() & b.isNotNull() & (a < b)
-    reason = F.when(citation.isNull(), "missing_path").when(ranged & ~F.coalesce(ok, F.lit(False)), "malformed_range")
+    reason = F.when(citation.isNull(), "missing_citation_path").when(ranged & ~F.coalesce(ok, F.lit(False)), "malformed_citation")
     return F.struct(
         F.when(ranged & reason.isNull(), F.regexp_extract(citation, _RANGE, 1)).when(~ranged, citation).alias("file"),
         F.when(ranged & reason.isNull(), a).alias("start"),

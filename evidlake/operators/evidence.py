@@ -28,27 +28,41 @@ def with_evidence(entries: DataFrame, evidence: DataFrame, cap: int = CAP) -> Da
     return entries.join(e.withColumnRenamed("entry_id", "id"), "id", "left")
 
 
+# Why evidence is unverified, and sizes beyond which nothing is hashed.
+MAX_FILE_BYTES, MAX_RANGE_BYTES = 64 << 20, 4 << 20
+#: Folders in which an excerpt is never looked for.
+EXCLUDED = (".git", "target", "node_modules", ".state", "agent-kb")
+#: How far a moved excerpt is looked for.
+NEVER, FILE_ONLY, REPO = "never", "file_only", "file_then_repo"
+
+
 def verified(evidence: DataFrame, files: DataFrame) -> DataFrame:
     """evidence (id, entry_id, kind, citation_path, citation_hash) against files (file, content) -> status, reason.
 
-    The first reason that holds: missing_path, malformed_range, path_escape, missing_file, range_beyond_end,
-    kind_not_code, hash_mismatch; else verified. Every file is joined once, however many rows cite it.
+    The first reason that holds: missing_citation_path, malformed_citation, path_escape, symlink_path_rejected,
+    file_missing, read_error, not_code_kind, file_too_large, range_out_of_bounds, range_too_large, hash_mismatch; none if
+    verified. Every file is joined once, however many rows cite it. files may have boolean columns ``symlink`` (it or a
+    folder above it is a link) and ``unreadable``.
     """
+    has = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c) if c in files.columns else F.lit(False).alias(c)
     e = evidence.withColumn("p", c.parsed(F.col("citation_path"))).select("*", "p.file", "p.start", "p.stop", F.col("p.reason").alias("bad")).drop("p")
-    j = e.join(files.select("file", "content", F.lit(True).alias("there")), "file", "left")
+    j = e.join(files.select("file", "content", F.lit(True).alias("there"), has("symlink"), has("unreadable")), "file", "left")
     part = c.sliced(F.col("content"), F.col("start"), F.col("stop"))
     same = F.sha2(part, 256) == c.bare_hash(F.col("citation_hash"))
     reason = (
         F.when(F.col("bad").isNotNull(), F.col("bad"))
         .when(c.escapes(F.col("file")), "path_escape")
-        .when(F.col("there").isNull(), "missing_file")
-        .when(part.isNull(), "range_beyond_end")
-        .when(F.coalesce(F.col("kind") != "code", F.lit(True)), "kind_not_code")
-        .when(F.coalesce(same, F.lit(False)), "hash_match")
-        .otherwise("hash_mismatch")
+        .when(F.col("symlink"), "symlink_path_rejected")
+        .when(F.col("there").isNull(), "file_missing")
+        .when(F.col("unreadable") | F.col("content").isNull(), "read_error")
+        .when(F.coalesce(F.col("kind") != "code", F.lit(True)), "not_code_kind")
+        .when(F.length("content") > MAX_FILE_BYTES, "file_too_large")
+        .when(part.isNull(), "range_out_of_bounds")
+        .when(F.col("stop") - F.col("start") > MAX_RANGE_BYTES, "range_too_large")
+        .when(~F.coalesce(same, F.lit(False)), "hash_mismatch")
     )
-    status = F.when(F.col("reason") == "hash_match", "verified").otherwise("unverified")
-    return j.withColumn("reason", reason).withColumn("status", status).drop("content", "there", "bad")
+    status = F.when(F.col("reason").isNull(), "verified").otherwise("unverified")
+    return j.withColumn("reason", reason).withColumn("status", status).drop("content", "there", "bad", "symlink", "unreadable")
 
 
 def movable(excerpt: Column) -> Column:
@@ -65,35 +79,89 @@ def occurrences(text: str, part: str) -> list[int]:
     return out
 
 
-def relocated(excerpts: DataFrame, files: DataFrame, block: int = 2000) -> DataFrame:
-    """excerpts (id, excerpt) in files (file, text) -> id, status, reason, file, start (byte).
+def found_in(excerpts: DataFrame, files: DataFrame, block: int = 2000) -> DataFrame:
+    """excerpts (id, excerpt) in files (file, text) -> id, file, start (byte) of every occurrence, overlapping ones too.
 
-    One occurrence in all files: relocated; none: no_candidate; several (overlapping ones count):
-    non_unique; too short: excerpt_too_short. Excerpts go out in blocks of ``block``; every file is read once
-    per block and nothing but hits is shuffled.
+    Excerpts go out in blocks of about ``block``, told apart by their first characters in one pass of an Aho-Corasick
+    automaton; every file is read once per block and nothing but hits comes out.
     """
-    able = excerpts.filter(movable(F.col("excerpt")))
-    blocks = max(1, -(-able.count() // block))
+    blocks = max(1, -(-excerpts.count() // block))
     hits = None
     for b in range(blocks):
-        part = able.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else able
-        rows = [(r.id, r.excerpt) for r in part.select("id", "excerpt").collect()]  # about ``block`` rows
+        part = excerpts.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else excerpts
+        rows = [(r.id, r.excerpt) for r in part.select("id", "excerpt").filter("excerpt <> ''").collect()]  # about ``block`` rows
 
         def find(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
             heads: dict[str, list[tuple[str, str]]] = {}
             for i, x in rows:
                 heads.setdefault(x[:32], []).append((i, x))
+            a = ahocorasick.Automaton()
+            for head, group in heads.items():
+                a.add_word(head, (len(head), group))
+            if heads:
+                a.make_automaton()
             for df in batches:
                 out = []
                 for f, t in zip(df["file"], df["text"], strict=True):
-                    for head, group in heads.items() if t else ():
-                        if head in t:
-                            out += [(i, f, len(t[:k].encode())) for i, x in group for k in occurrences(t, x)]
+                    for end, (n, group) in a.iter(t) if t and heads else ():
+                        at = end - n + 1
+                        out += [(i, f, len(t[:at].encode())) for i, x in group if t.startswith(x, at)]
                 yield pd.DataFrame(out, columns=["id", "file", "start"])
 
-        kind = dict(excerpts.dtypes)["id"]
-        one = files.select("file", "text").mapInPandas(find, f"id {kind}, file string, start bigint")
+        one = files.select("file", "text").mapInPandas(find, f"id {dict(excerpts.dtypes)['id']}, file string, start bigint")
         hits = one if hits is None else hits.unionByName(one)
+    return hits
+
+
+def relocations(evidence: DataFrame, files: DataFrame, policy: str = REPO, block: int = 2000) -> DataFrame:
+    """Verification with a search for what moved: evidence (id, entry_id, kind, citation_path, citation_hash,
+    citation_excerpt) against files (file, content, text) -> id, entry_id, citation_path, citation_hash, status, reason, new_path.
+
+    Where a hash can't be matched in a file that is there, a strong excerpt is looked for in the cited file
+    (``file_only``) and in all others but excluded folders (``file_then_repo``): once: relocated, a range keeps its
+    length at the new place; never: no_candidate; more often: non_unique; a weak one: excerpt_too_weak. An
+    excerpt that still is where it was is decay, not a move. There is no limit on the bytes searched.
+    """
+    if policy not in (NEVER, FILE_ONLY, REPO):
+        raise ValueError(f"policy must be {NEVER}, {FILE_ONLY} or {REPO}")
+    v = verified(evidence, files)
+    keep = ["id", "entry_id", "citation_path", "citation_hash", "status", "reason"]
+    if policy == NEVER:
+        return v.select(*keep, F.lit(None).cast("string").alias("new_path"))
+    v = v.withColumn("look", F.coalesce(F.col("reason").isin("hash_mismatch", "range_out_of_bounds", "file_too_large", "range_too_large", "read_error"), F.lit(False)))
+    strong = F.coalesce(movable(F.col("citation_excerpt")), F.lit(False))
+    v = v.withColumn("able", F.col("look") & strong)
+    hits = found_in(v.filter("able").select("id", F.col("citation_excerpt").alias("excerpt")).distinct(), files, block)
+    hits = hits.join(v.filter("able").select("id", F.col("file").alias("cited")).distinct(), "id")
+    own = F.col("file") == F.col("cited")
+    allowed = own if policy == FILE_ONLY else own | ~F.arrays_overlap(F.split("file", "/"), F.array(*map(F.lit, EXCLUDED)))
+    at = F.min(F.struct("file", "start"))
+    n = hits.filter(allowed).groupBy("id").agg(F.count("*").alias("n"), at.alias("at"))
+    j = v.join(n, "id", "left").join(files.select(F.col("file").alias("_f"), F.length("content").cast("bigint").alias("size")), F.col("at.file") == F.col("_f"), "left")
+    stop = F.col("at.start") + F.col("stop") - F.col("start")
+    path = c.formatted(F.col("at.file"), F.when(F.col("start").isNotNull(), F.col("at.start")), stop)
+    why = (
+        F.when(~F.col("look"), F.col("reason"))
+        .when(~F.col("able"), F.when(F.col("reason") == "hash_mismatch", "excerpt_too_weak").otherwise(F.col("reason")))
+        .when(F.col("n").isNull(), "no_candidate")
+        .when(F.col("n") > 1, "non_unique")
+        .when(F.col("start").isNotNull() & (stop > F.col("size")), "range_out_of_bounds")
+        .when(path == F.col("citation_path"), F.col("reason"))
+    )
+    moved = F.col("look") & why.isNull()
+    return j.select("id", "entry_id", "citation_path", "citation_hash", F.when(moved, "relocated").otherwise(F.col("status")).alias("status"), why.alias("reason"), F.when(moved, path).alias("new_path"))
+
+
+def relocated(excerpts: DataFrame, files: DataFrame, block: int = 2000) -> DataFrame:
+    """excerpts (id, excerpt) in files (file, text) -> id, status, reason, file, start (byte).
+
+    One occurrence in all files: relocated; none: no_candidate; several (overlapping ones count):
+    non_unique; too short: excerpt_too_short. Excerpts go out in blocks of ``block``; every file is read once
+    per block and nothing but hits is shuffled.
+    """
+    hits = found_in(excerpts.filter(movable(F.col("excerpt"))), files, block)
     n = hits.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("file", "start")).alias("at"))
     j = excerpts.select("id", movable(F.col("excerpt")).alias("able")).join(n, "id", "left")
     reason = F.when(~F.coalesce("able", F.lit(False)), "excerpt_too_short").when(F.col("n").isNull(), "no_candidate").when(F.col("n") > 1, "non_unique").otherwise("unique")
@@ -152,9 +220,51 @@ def stale_by_commits(entries: DataFrame, changed: DataFrame, commits: DataFrame,
     return later.select("id", F.when(F.col("ref_ord").isNull(), "unreachable").when(F.col("n_commits") > 0, "stale").otherwise("fresh").alias("bucket"), F.when(F.col("ref_ord").isNotNull(), F.col("n_commits")).alias("n_commits"))
 
 
-def review_by_refs(entries: DataFrame, refs: DataFrame) -> DataFrame:
-    """Second pass: entries whose version_ref is one of refs (sha)."""
-    return entries.join(refs.select(F.col("sha").alias("version_ref")).distinct(), "version_ref", "left_semi").select("id", F.lit("review").alias("bucket"))
+def review_by_refs(entries: DataFrame, refs: DataFrame, commits: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """Second pass: live entries (id, version_ref) made at one of refs (sha; given ones and those that touched the
+    changed files). Their bucket is review, or unreachable if commits (sha) are given and don't have the ref.
+    Entries the first pass has seen (id) are left out."""
+    e = entries.filter(~F.coalesce("is_stale", F.lit(False))) if "is_stale" in entries.columns else entries
+    out = e.join(refs.select(F.col("sha").alias("version_ref")).distinct(), "version_ref", "left_semi")
+    out = out if seen is None else out.join(seen.select("id").distinct(), "id", "left_anti")
+    if commits is None:
+        return out.select("id", F.lit("review").alias("bucket"))
+    known = commits.select(F.col("sha").alias("version_ref"), F.lit(True).alias("known")).distinct()
+    return out.join(known, "version_ref", "left").select("id", F.when(F.col("known"), "review").otherwise("unreachable").alias("bucket"))
+
+
+def touching(commits: DataFrame, changed: DataFrame) -> DataFrame:
+    """sha of the commits (sha, file) that touched a changed file (file)."""
+    return commits.join(changed.select("file").distinct(), "file", "left_semi").select("sha").distinct()
+
+
+def surfaced_relocations(surfaced: DataFrame, evidence: DataFrame, files: DataFrame, policy: str = REPO) -> DataFrame:
+    """Third pass: the evidence of surfaced entries (id) that is not verified any more, and where it went."""
+    own = evidence.join(surfaced.select(F.col("id").alias("entry_id")).distinct(), "entry_id", "left_semi")
+    return relocations(own, files, policy).filter("status <> 'verified'")
+
+
+def confirmed_heals(planned: DataFrame, evidence: DataFrame, entries: DataFrame, files: DataFrame, ts: str, policy: str = REPO) -> DataFrame:
+    """Heal events of planned relocations that hold when checked again: the evidence is there with its old path, its
+    entry lives, and a fresh search leads to the same new path. Only the path changes, the hash stays."""
+    live = entries.filter(~F.coalesce("is_stale", F.lit(False))).select(F.col("id").alias("entry_id"))
+    plan = planned.filter("status = 'relocated'").select("id", "entry_id", F.col("citation_path").alias("_old"), F.col("new_path").alias("_new"))
+    now = evidence.join(plan, ["id", "entry_id"], "left_semi").join(live, "entry_id", "left_semi")
+    again = relocations(now, files, policy).filter("status = 'relocated'").join(plan, ["id", "entry_id"])
+    return heal_events(again.filter("citation_path = _old and new_path = _new"), ts)
+
+
+def searched(results: DataFrame, evidence: DataFrame, files: DataFrame, k: int, cap: int = CAP) -> DataFrame:
+    """Verification of search results (qid, id, rank): each with its evidence's number and worst status, at most ``cap`` rows
+    an entry, for the first k ranks (at most 100); deferred beyond them; none without evidence."""
+    if not 0 <= k <= 100:
+        raise ValueError("k must be between 0 and 100")
+    top = results.filter(F.col("rank") <= k).select(F.col("id").alias("entry_id")).distinct()
+    v = verified(capped(evidence.join(top, "entry_id", "left_semi"), cap), files)
+    worst = v.groupBy(F.col("entry_id").alias("id")).agg(F.count("*").alias("n_evidence"), F.when(F.bool_and(F.col("status") == "verified"), "verified").otherwise("unverified").alias("worst"))
+    return results.join(worst, "id", "left").withColumns(
+        {"n_evidence": F.coalesce("n_evidence", F.lit(0)), "verification": F.when(F.col("rank") > k, "deferred").otherwise(F.coalesce("worst", F.lit("none")))}
+    ).drop("worst")
 
 
 def heal_events(statuses: DataFrame, ts: str) -> DataFrame:
