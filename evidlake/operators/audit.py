@@ -70,6 +70,21 @@ def judged(verdicts: DataFrame, candidates: DataFrame, entries: DataFrame, recor
     return j.select("run_id", "entry_id", "verdict", out.alias("outcome"))
 
 
+def verdict_expiries(outcomes: DataFrame) -> DataFrame:
+    """Expire events that accepted false verdicts bring about, one per entry."""
+    return outcomes.filter("outcome = 'accepted' and not verdict").select("entry_id", F.lit("expire").alias("action"), F.lit("audit verdict: false").alias("reason")).distinct()
+
+
+def candidate_outcomes(batch: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Audit candidates (run_id, entry_id, arm) against those recorded: inserted, same, or conflict, where the arm
+    differs from a recorded one or within the batch. A null arm is uniform. One row per run and entry."""
+    arm = F.coalesce("arm", F.lit("uniform"))
+    new = batch.groupBy("run_id", "entry_id").agg(F.min(arm).alias("arm"), (F.min(arm) != F.max(arm)).alias("both"))
+    j = new.join(recorded.select("run_id", "entry_id", arm.alias("was")), ["run_id", "entry_id"], "left")
+    out = F.when(F.col("both") | (F.col("was") != F.col("arm")), "conflict").when(F.col("was").isNotNull(), "same").otherwise("inserted")
+    return j.select("run_id", "entry_id", "arm", out.alias("outcome"))
+
+
 def telemetry(injections: DataFrame) -> DataFrame:
     """Injections in total and per surface (null surface: the total): n, acted-on rate over known ones, unknown share."""
     known = F.count("acted_on")

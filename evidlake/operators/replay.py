@@ -86,6 +86,30 @@ def compacted(events: DataFrame) -> DataFrame:
     return j.filter((up & (F.col("seq") == F.col("last_up"))) | (F.col("action").isin("evidence_add", "evidence_expire", "citation_healed") & (F.col("seq") > F.col("last_kill")))).select("seq", "action", "entry_id")
 
 
+def compacted_log(events: DataFrame) -> DataFrame:
+    """A compacted log in its new order: seq, action, entry_id, place (from 1, by ``order`` and ``sub``).
+
+    Kept: what ``compacted`` keeps; every run (``insert``) and audit (``audit_record``, ``audit_candidates``); and for
+    entries an audit names the last upsert and the last expire, too, live or not. Order is that of the log, but an
+    entry's evidence comes right after its upsert. order, sub: the place without a sort of the whole log.
+    """
+    up, ex = F.col("action") == "upsert", F.col("action") == "expire"
+    audits = F.col("action").isin("audit_record", "audit_candidates")
+    named = events.filter(audits & F.col("entry_id").isNotNull()).select("entry_id").distinct()
+    last = events.join(named, "entry_id", "left_semi").groupBy("entry_id").agg(F.max(F.when(up, F.col("seq"))).alias("u"), F.max(F.when(ex, F.col("seq"))).alias("x"))
+    needed = last.select(F.explode(F.array("u", "x")).alias("seq")).filter("seq is not null")
+    keep = (
+        compacted(events).select("seq")
+        .unionByName(events.filter(audits | (F.col("action") == "insert")).select("seq"))
+        .unionByName(needed).distinct()
+    )
+    kept = events.join(keep, "seq", "left_semi").select("seq", "action", "entry_id")
+    ups = kept.filter(up).groupBy("entry_id").agg(F.max("seq").alias("at"))
+    evidence = F.col("action").isin("evidence_add", "evidence_expire", "citation_healed")
+    out = kept.join(ups, "entry_id", "left")
+    return out.select("seq", "action", "entry_id", F.when(evidence, F.col("at")).otherwise(F.col("seq")).alias("order"), F.when(evidence, F.col("seq")).otherwise(F.lit(-1)).alias("sub"))
+
+
 def run_keys(runs: DataFrame) -> DataFrame:
     """runs (seq, run_id, test_id, result, detail, ts) -> the first row per key; without run_id the key is
     ``legacy:<sha256 of the fields>:<which of its equals>``."""

@@ -41,6 +41,21 @@ def ranked(df: DataFrame, by: list[str], score: str, k: int | None, name: str =
     return out if k is None else out.filter(F.col(name) <= k)
 
 
+# The most a request may ask for.
+MOST = {"limit": 100, "verify_k": 100, "pool": 32}
+
+
+def request(strict: bool = True, **asked: int) -> dict[str, int]:
+    """A request's numbers within their limits: out of them, an error at the boundary (strict), else held to them."""
+    out = {}
+    for name, n in asked.items():
+        least, most = 0 if name == "verify_k" else 1, MOST[name]
+        if strict and not least <= n <= most:
+            raise ValueError(f"{name} must be between {least} and {most}")
+        out[name] = min(most, max(least, n))
+    return out
+
+
 def phrases(queries: DataFrame) -> DataFrame:
     """(qid, query) -> one row per token: qid, term (number of the white-space separated term), n, j, token.
 
@@ -59,8 +74,15 @@ def small(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= 4 * QUERY_BLOCK else written(df, name)
 
 
-def full_text(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(id, text) x (qid, query) -> qid, id, score: every document that holds all terms, with its BM25 score.
+def tokens_of(columns: list[str]) -> Column:
+    """Tokens of several text columns, with an empty one between columns, so that no phrase goes over a border."""
+    parts = [tokens(F.coalesce(c, F.lit(""))) for c in columns]
+    gap = F.array(F.lit(""))
+    return parts[0] if len(parts) == 1 else F.concat(*[x for p in parts for x in (p, gap)][:-1])
+
+
+def full_text(docs: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("text",)) -> DataFrame:
+    """(id, text columns) x (qid, query) -> qid, id, score: every document that holds all terms, with its BM25 score.
 
     Implicit AND of phrases; Okapi BM25 (k1 1.2, b 0.75) with ln(1 + (N - df + 0.5) / (df + 0.5)). Texts are tokenized
     once; of each its length and the occurrences of query tokens go on. Null texts count as empty.
@@ -68,7 +90,8 @@ def full_text(docs: DataFrame, queries: DataFrame) -> DataFrame:
     q = small(phrases(queries), "phrases")
     want = [r[0] for r in q.select("token").distinct().limit(FEW_TOKENS + 1).collect()]
     # The length is a column of its own, so that exploded rows carry it and not the tokens.
-    t = docs.select("id", tokens(F.coalesce("text", F.lit(""))).alias("toks")).withColumn("len", F.size("toks"))
+    t = docs.select("id", tokens_of(list(columns)).alias("toks"))
+    t = t.withColumn("len", F.size("toks") if len(columns) == 1 else F.size(F.filter("toks", lambda x: x != "")))
     if len(want) <= FEW_TOKENS:
         placed = F.transform("toks", lambda x, i: F.struct(i.alias("pos"), x.alias("token")))
         here = F.filter(placed, lambda x: F.array_contains(F.array(*map(F.lit, want)).cast("array<string>"), x["token"]))
@@ -76,6 +99,11 @@ def full_text(docs: DataFrame, queries: DataFrame) -> DataFrame:
         found = t.select("id", "len", F.inline("here"))
     else:
         found = t.select("id", "len", F.posexplode("toks").alias("pos", "token"))
+    return bm25(found, q, *t.agg(F.count("*"), F.avg("len")).first())
+
+
+def bm25(found: DataFrame, q: DataFrame, n_docs: int, avg_len: float) -> DataFrame:
+    """Occurrences (id, len, pos, token) and phrases of queries -> qid, id, score."""
     one = found.join(q.filter("n = 1"), "token").groupBy("qid", "term", "id", "len").agg(F.count("*").alias("tf"))
     phrase = (
         found.join(q.filter("n > 1"), "token")
@@ -83,16 +111,12 @@ def full_text(docs: DataFrame, queries: DataFrame) -> DataFrame:
         .filter("m = n")
         .groupBy("qid", "term", "id", "len").agg(F.count("*").alias("tf"))
     )
-    hits = one.unionByName(phrase) if not q.filter("n > 1").isEmpty() else one
-    n_docs, avg_len = t.agg(F.count("*"), F.avg("len")).first()
-    if not n_docs:
-        return docs.sparkSession.createDataFrame([], f"qid {dict(queries.dtypes)['qid']}, id {dict(docs.dtypes)['id']}, score double")
-    hits = written(hits, "hits")  # small, and read twice
+    hits = written(one.unionByName(phrase) if not q.filter("n > 1").isEmpty() else one, "hits")  # small, and read twice
     df = hits.groupBy("qid", "term").agg(F.count("*").alias("df"))
     need = q.groupBy("qid").agg(F.countDistinct("term").alias("n_terms"))
     tf, n, d = F.col("tf"), F.lit(n_docs), F.col("df")
     idf = F.log(1 + (n - d + 0.5) / (d + 0.5))
-    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(avg_len)))
+    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(float(avg_len or 1))))
     return (
         hits.join(df, ["qid", "term"])
         .groupBy("qid", "id").agg(F.sum(part).alias("score"), F.count("*").alias("m"))
@@ -105,20 +129,29 @@ def tie_run(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.rank().over(W.partitionBy("qid").orderBy(F.desc(F.round("score", 9)))).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def _unit(rows: list, dim: int) -> np.ndarray:
-    """Vectors of length 1; 0 for those of another dimension, with non-finite values or of norm 0."""
+#: Dimension of vectors that may be flagged as normalized.
+NORMALIZED_DIM = 384
+
+
+def _unit(rows: list, dim: int, ready: list | None = None) -> np.ndarray:
+    """Vectors of length 1; 0 for those of another dimension, with non-finite values or of norm 0. Those that are
+    ``ready`` and of NORMALIZED_DIM are taken as they are, so that their scores are plain dot products."""
     m = np.zeros((len(rows), dim))
     for i, v in enumerate(rows):
         if v is not None and len(v) == dim:
             m[i] = v
     m[~np.isfinite(m).all(axis=1)] = 0
+    if ready is not None and dim == NORMALIZED_DIM:
+        rest = ~np.array([bool(x) for x in ready], bool)
+        m[rest] = _unit(list(m[rest]), dim)
+        return m
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _in_blocks(queries: DataFrame, of) -> DataFrame | list:
+def _in_blocks(queries: DataFrame, of, flag: str | None = None) -> DataFrame | list:
     """The rows of the queries if they fit in one block, else the union of ``of`` over blocks."""
-    rows = queries.select("qid", "embedding").limit(QUERY_BLOCK + 1).collect()
+    rows = queries.select("qid", "embedding", *([flag] if flag else [])).limit(QUERY_BLOCK + 1).collect()
     if len(rows) <= QUERY_BLOCK:
         return rows
     parts = queries.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(-(-queries.count() // (QUERY_BLOCK // 2)))))
@@ -153,23 +186,24 @@ class _Best:
             self.rows[i] = sorted(best.values(), key=lambda r: (-r[0], r[1]))[: self.k]
 
 
-def similarities(vectors: DataFrame, queries: DataFrame, k: int | None = None, digits: int | None = None, label: str | None = None) -> DataFrame:
+def similarities(vectors: DataFrame, queries: DataFrame, k: int | None = None, digits: int | None = None, label: str | None = None, flag: str | None = None) -> DataFrame:
     """(id, embedding) x (qid, embedding) -> qid, id, score: exact cosine similarity, rounded to ``digits``.
 
     0 for vectors of another length, with non-finite values or of norm 0; rows stay. Query vectors go out in
     blocks of QUERY_BLOCK. With k, a task gives only its own first k per query, ids once each; ``label``
     is a column that comes along, of several rows of an id that of the best (then the least label).
+    ``flag`` is a boolean column of both sides: vectors it calls normalized need no norms.
     """
-    rows = _in_blocks(queries, lambda part: similarities(vectors, part, k, digits, label))
+    rows = _in_blocks(queries, lambda part: similarities(vectors, part, k, digits, label, flag), flag)
     if not isinstance(rows, list):
         return rows
     qids, dim = [r.qid for r in rows], max((len(r.embedding or ()) for r in rows), default=0)
-    q = _unit([r.embedding for r in rows], dim)
+    q = _unit([r.embedding for r in rows], dim, [r[flag] for r in rows] if flag else None)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = _Best(len(qids), k) if k else None
         for df in batches:
-            s, key = q @ _unit(df["embedding"].tolist(), dim).T, df["id"].to_numpy()
+            s, key = q @ _unit(df["embedding"].tolist(), dim, df[flag].tolist() if flag else None).T, df["id"].to_numpy()
             s = s if digits is None else np.round(s, digits)
             if best:
                 best.add(s, key, df["label"].to_numpy() if label else np.zeros(len(df)))
@@ -181,9 +215,9 @@ def similarities(vectors: DataFrame, queries: DataFrame, k: int | None = None, d
 
     kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["id"]
     if label and k:
-        out = vectors.select("id", "embedding", F.col(label).alias("label")).mapInPandas(score, f"qid {kinds[0]}, id {kinds[1]}, score double, label {dict(vectors.dtypes)[label]}")
+        out = vectors.select("id", "embedding", *([flag] if flag else []), F.col(label).alias("label")).mapInPandas(score, f"qid {kinds[0]}, id {kinds[1]}, score double, label {dict(vectors.dtypes)[label]}")
         return out.withColumnRenamed("label", label)
-    return vectors.select("id", "embedding").mapInPandas(score, f"qid {kinds[0]}, id {kinds[1]}, score double")
+    return vectors.select("id", "embedding", *([flag] if flag else [])).mapInPandas(score, f"qid {kinds[0]}, id {kinds[1]}, score double")
 
 
 def ranks_of(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, digits: int) -> DataFrame:
@@ -323,17 +357,17 @@ def greedy_pack(sizes: list[int], budget: int) -> list[bool]:
     return out
 
 
-def context_candidates(entries: DataFrame, evidence: DataFrame, files: list[str], hits: DataFrame) -> DataFrame:
+def context_candidates(entries: DataFrame, evidence: DataFrame, files: list[str], hits: DataFrame, floor: float | None = None) -> DataFrame:
     """id, overlap (cited files in the working set over all citations), fts (1 / (60 + rank)), score, n_tokens.
 
-    hits: id, rank. Kept: any signal at all."""
+    hits: id, rank. Kept: a score of ``floor`` or more, without one any signal at all."""
     file = F.regexp_replace("citation_path", r":\d+-\d+$", "")
     c = evidence.filter("citation_path is not null").dropDuplicates(["id"]).groupBy(F.col("entry_id").alias("id")).agg(F.avg(file.isin(files).cast("double")).alias("overlap"))
     n = F.ceil((F.octet_length("summary") + F.octet_length("content")) / 4).cast("bigint")
     return (
         live(entries).select("id", n.alias("n_tokens"))
         .join(c, "id", "left").join(hits.select("id", (1 / (60 + F.col("rank"))).alias("fts")), "id", "left")
-        .fillna(0.0, ["overlap", "fts"]).withColumn("score", F.col("overlap") + F.col("fts")).filter("score > 0")
+        .fillna(0.0, ["overlap", "fts"]).withColumn("score", F.col("overlap") + F.col("fts")).filter("score > 0" if floor is None else F.col("score") >= floor)
     )
 
 

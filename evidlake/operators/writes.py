@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidlake.functions.citations import file_any_colon
 from evidlake.functions.texts import redacted
 from evidlake.functions.times import instant_us
+from evidlake.session import written
 
 SUMMARY_CAP, CONTENT_CAP = 200, 10_000
 
@@ -59,6 +60,37 @@ def embed_writes(made: DataFrame, entries: DataFrame, vectors: DataFrame) -> Dat
     return made.join(now, "id", "left").join(have, "id", "left").withColumn("outcome", F.when(F.coalesce(ok, F.lit(False)), "write").otherwise("raced")).drop("now_at", "have")
 
 
+def test_events(adds: DataFrame) -> DataFrame:
+    """Upsert events of test cases (id, app, name, protocol, config, version_ref, ts); app and name must not be empty."""
+    ok = (F.trim(F.coalesce("app", F.lit(""))) != "") & (F.trim(F.coalesce("name", F.lit(""))) != "")
+    return adds.filter(ok).select(F.lit("upsert").alias("action"), F.lit("test_cases").alias("table"), *[c for c in ("id", "app", "name", "protocol", "config", "version_ref", "ts") if c in adds.columns])
+
+
+def run_events(runs: DataFrame, tests: DataFrame) -> DataFrame:
+    """Insert events of runs (test_id, result, run_id, ts) of known tests; result is pass or fail."""
+    own = runs.join(tests.select(F.col("id").alias("test_id")).distinct(), "test_id", "left_semi").filter(F.col("result").isin("pass", "fail"))
+    return own.select(F.lit("insert").alias("action"), F.lit("run_history").alias("table"), "test_id", "result", *[c for c in ("run_id", "adapter", "detail", "ts") if c in runs.columns])
+
+
+def peers_removed(peers: DataFrame, gone: DataFrame) -> DataFrame:
+    """Peer edges without those named by gone (source, target, slug; null slugs are equal)."""
+    g = gone.select(*[F.col(c).alias(f"_{c}") for c in ("source", "target", "slug")]).distinct()
+    return peers.join(g, (F.col("source") == F.col("_source")) & (F.col("target") == F.col("_target")) & F.col("slug").eqNullSafe(F.col("_slug")), "left_anti")
+
+
+def migrated_vectors(blobs: DataFrame, path: str, dim: int) -> int:
+    """Publishes vectors of old blobs (id, blob: little-endian half or single floats) as the next version of the snapshot at ``path``, normalized and
+    flagged so: all of them, or none if any is of another size, not finite or of norm 0."""
+    from evidlake.sources.files import decoded_vectors, normalized_vectors
+    from evidlake.sources.snapshots import publish
+
+    v = written(normalized_vectors(decoded_vectors(blobs, "id", "blob", dim), dim=dim), "vectors")
+    bad = v.filter("corrupt or invalid").count()
+    if bad:
+        raise ValueError(f"{bad} vectors are invalid; nothing was migrated")
+    return publish(v.select("id", "embedding", F.lit(True).alias("normalized")), path, normalized=True)
+
+
 def quarantined(failures: DataFrame, attempts: int = 2) -> DataFrame:
     """Events (seq) that failed in ``attempts`` applications or more: they are skipped from then on."""
     return failures.groupBy("seq").agg(F.count("*").alias("n")).filter(F.col("n") >= attempts).select("seq")

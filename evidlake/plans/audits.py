@@ -73,11 +73,6 @@ def hit_counts(spark, sf):
 
 
 def retention(spark, sf):
-    return a.retained(table(spark, sf, "hits").dropDuplicates(["id"]), NOW, 90, 100).select("id", "queried_at")
-
-
-def retention_default(spark, sf):
-    """With the operator's own days and cap."""
     return a.retained(table(spark, sf, "hits").dropDuplicates(["id"]), NOW).select("id", "queried_at")
 
 
@@ -115,6 +110,33 @@ def compare(spark, sf):
     return a.compared(a.evaluated(_cases(spark, sf), r, 1), a.evaluated(_cases(spark, sf), r, 10))
 
 
+def expiries(spark, sf):
+    """Entries that false verdicts expire, once the batch is validated."""
+    v = verdicts(spark, sf)
+    none = v.filter("false").select("run_id", "entry_id", "verdict")
+    return a.verdict_expiries(a.judged(v.select("run_id", "entry_id", "verdict", "note"), v, d.entries(spark, sf), none)).select("entry_id", "action")
+
+
+def candidates(spark, sf):
+    """Each run's rows as candidates, against those of rows divisible by 3."""
+    v = verdicts(spark, sf).select("row_id", "run_id", "entry_id", "arm")
+    known = v.filter("row_id % 3 = 0").groupBy("run_id", "entry_id").agg(F.min("arm").alias("arm"))
+    return a.candidate_outcomes(v, known)
+
+
+def hybrid_tail(spark, sf):
+    """A search without vectors over path, summary, content and tags of entries, with confidence, evidence and verification of the first three."""
+    from evidlake.operators import evidence as ev
+    from evidlake.plans import evidences
+
+    e = s.live(d.entries(spark, sf)).withColumn("tag_text", F.array_join("tags", " "))
+    q = spark.createDataFrame([(1, "missing turns"), (2, "timeout"), (3, "nothing zzzz")], "qid bigint, query string")
+    top = s.ranked(s.full_text(e, q, ("path", "summary", "content", "tag_text")).withColumn("score", F.round("score", 9)), ["qid"], "score", s.request(limit=10)["limit"])
+    own = a.confidence(e.select("id", "kind", "session_id"), weights(spark, sf)).select("id", F.round("confidence", 6).alias("confidence"), "audit_n")
+    out = ev.searched(top.select("qid", "id", "rank"), d.evidence(spark, sf), evidences.files(spark, sf), 3)
+    return out.join(own, "id").select("qid", "id", "rank", "confidence", "audit_n", "n_evidence", "verification")
+
+
 def digest(spark, sf):
     ids = table(spark, sf, "golden_cases").select(F.explode("expected_ids").alias("id"))
     return a.corpus_digest(d.entries(spark, sf), ids)
@@ -122,8 +144,8 @@ def digest(spark, sf):
 
 QUERIES = {
     "audit_report_kind": by_kind, "audit_report_arm": by_arm, "audit_totals": totals, "source_weights": weights, "source_confidence": confidence,
-    "audit_sample": sample, "audit_record_validate": judge, "injection_telemetry": telemetry, "injections_acted_on": acted, "hit_counts": hit_counts,
-    "telemetry_retention": retention, "telemetry_retention_default": retention_default, "older_than": older_than, "retrieval_eval": evaluation, "retrieval_metrics": metrics, "retrieval_compare": compare, "corpus_digest": digest,
+    "audit_verdict_expiries": expiries, "audit_candidates": candidates, "hybrid_confidence_evidence": hybrid_tail, "audit_sample": sample, "audit_record_validate": judge, "injection_telemetry": telemetry, "injections_acted_on": acted, "hit_counts": hit_counts,
+    "telemetry_retention": retention, "older_than": older_than, "retrieval_eval": evaluation, "retrieval_metrics": metrics, "retrieval_compare": compare, "corpus_digest": digest,
 }
 _V = """vd as (select *, case when row_id % 2 = 0 then 'uniform' else 'traffic' end as arm from (select distinct row_id, run_id, entry_id, outcome = 'would_heal' as verdict, reason as note from migration_rows where entry_id is not null)),
 vk as (select vd.*, kind, session_id from vd join e on e.id = entry_id)"""
@@ -138,6 +160,20 @@ wx as (select distinct qid, unnest(expected) as id from cs),
 er as (select wx.qid, count(rank)::double / count(*) as recall, coalesce(1.0::double / min(rank), 0) as rr, count(case when rank = 1 then 1 end)::double / count(*) as recall1 from wx left join rs using (qid, id) group by wx.qid)"""
 
 
+def _tail_sql() -> str:
+    """Columns are searched one by one only for phrases; these queries have none, so that joined columns do."""
+    from evidlake.plans.searches import _bm25
+
+    return f"""with {d.SQL_ENTRY}, {d.SQL_EVIDENCE}, {_V}, {_SW}, le as (select id, kind, session_id, concat_ws(' ', path, summary, content, array_to_string(tags, ' ')) as text from e where not is_stale),
+        cq as (select * from (values (1::bigint, 'missing turns'), (2::bigint, 'timeout'), (3::bigint, 'nothing zzzz')) x(qid, query)), {_bm25("le", "cq")},
+        rk as (select * from (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from bm) where rank <= 10),
+        ne as (select entry_id, least(count(*), 200) as n from v group by 1)
+        select rk.qid, rk.id, rank, round((coalesce(successes, 0) + 1)::double / (coalesce(successes, 0) + coalesce(failures, 0) + 2), 6) as confidence, coalesce(successes, 0) + coalesce(failures, 0) as audit_n,
+          case when rank <= 3 then coalesce(n, 0) else case when rk.id in (select id from rk where rank <= 3) then coalesce(n, 0) else 0 end end as n_evidence,
+          case when rank > 3 then 'deferred' when n is null then 'none' else 'unverified' end as verification
+        from rk join le using (id) left join sw on sw.kind = le.kind and sw.session_id = coalesce(le.session_id, '__GLOBAL__') left join ne on ne.entry_id = rk.id"""
+
+
 def _eval_sql() -> str:
     from evidlake.plans.searches import _bm25
 
@@ -163,7 +199,7 @@ SQL = {
         c as (select session_id, entry_id as said from x where id % 2 = 0 union select session_id, cited_file from x where cited_file like '%.rs')
         select id, greatest(acted_on, case when exists (select 1 from c where c.session_id = x.session_id and (contains(said, x.entry_id) or contains(said, coalesce(x.cited_file, chr(1))))) then 1 else 0 end) as acted_on from x""",
     "hit_counts": "select entry_id, count(*) as n from (select distinct * from hits) group by entry_id",
-    "telemetry_retention": f"select id, queried_at from (select distinct id, queried_at from hits) where queried_at >= {NOW} - 90 * 86400 order by queried_at desc, id desc limit 100",
+    "telemetry_retention": f"select id, queried_at from (select distinct id, queried_at from hits) where queried_at >= {NOW} - 90 * 86400 order by queried_at desc, id desc limit 200000",
     "older_than": f"with {d.SQL_ENTRY} select path, max(ts) as updated_at, arg_max(struct_pack(s := summary), (ts, id)).s as summary from e where not is_stale group by path having max(ts) < '2025-09-01'",
     "retrieval_eval": f"with {_eval_sql()} select qid, round(recall, 6) as recall, round(rr, 6) as rr from er",
     "retrieval_metrics": f"with {_eval_sql()} select count(*) as n, round(avg(round(recall, 6)), 4) as recall, round(avg(round(rr, 6)), 4) as mrr from er",
@@ -171,4 +207,9 @@ SQL = {
         case when count(*) filter (recall > recall1) >= 6 and count(*) filter (recall < recall1) = 0 then 'SIGNIFICANT' when count(*) filter (recall < recall1) >= 6 and count(*) filter (recall > recall1) = 0 then 'REGRESSION' else 'INCONCLUSIVE' end as verdict from er""",
     "corpus_digest": f"""with {d.SQL_ENTRY}, x as (select id || chr(0) || sha256(coalesce(content, '')) || chr(10) as line from e where not is_stale and id in (select unnest(expected_ids) from golden_cases))
         select count(*) as n, sha256(string_agg(line, '' order by line)) as digest from x""",
+    "audit_verdict_expiries": f"""with {d.SQL_ENTRY}, {_V}, j as (select vd.*, permanent, e.id as known, count(*) filter (verdict) over (partition by vd.run_id, vd.entry_id) > 0 and count(*) filter (not verdict) over (partition by vd.run_id, vd.entry_id) > 0 as both_
+        from vd left join e on e.id = vd.entry_id) select distinct entry_id, 'expire' as action from j where known is not null and not verdict and not coalesce(permanent, false) and trim(coalesce(note, '')) <> '' and not both_""",
+    "audit_candidates": f"""with {d.SQL_ENTRY}, {_V}, kn as (select run_id, entry_id, min(arm) as was from vd where row_id % 3 = 0 group by 1, 2), n as (select run_id, entry_id, min(arm) as arm, min(arm) <> max(arm) as both_ from vd group by 1, 2)
+        select run_id, entry_id, arm, case when both_ or was <> arm then 'conflict' when was is not null then 'same' else 'inserted' end as outcome from n left join kn using (run_id, entry_id)""",
+    "hybrid_confidence_evidence": _tail_sql(),
 }

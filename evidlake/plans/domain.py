@@ -49,10 +49,11 @@ def doc_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cues(spark: SparkSession, sf: str) -> DataFrame:
-    """One cue per vector: it belongs to document 7 * vec_id modulo 500 and reads as its label."""
+    """One cue per vector: it belongs to document 7 * vec_id modulo the number of vectors and reads as its label."""
     e = table(spark, sf, "embeddings")
+    n = e.count()
     return e.select(
-        F.lpad((F.col("vec_id") * 7 % 500).cast("string"), 10, "0").alias("entry"), F.concat(F.lit("cue "), F.col("label").cast("string")).alias("cue"), F.col("vec_id").alias("id"), "embedding"
+        F.lpad((F.col("vec_id") * 7 % n).cast("string"), 10, "0").alias("entry"), F.concat(F.lit("cue "), F.col("label").cast("string")).alias("cue"), F.col("vec_id").alias("id"), "embedding"
     )
 
 

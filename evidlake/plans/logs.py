@@ -80,8 +80,15 @@ def peers(spark, sf):
     return r.first_new(edge(3), edge(8).filter("o % 2 = 0"), ["source", "target", "slug"], "o").select("source", "target", "slug")
 
 
+def compact_all(spark, sf):
+    """The made log with every eleventh event a run and every thirteenth an audit of its entry."""
+    k = F.col("seq")
+    e = made(spark, sf).withColumn("action", F.when(k % 11 == 0, "insert").when(k % 13 == 0, "audit_record").otherwise(F.col("action")))
+    return r.compacted_log(e).select("seq", "action", "entry_id", "order", "sub")
+
+
 QUERIES = {
-    "log_materialize_entries": entries, "log_materialize_evidence": evidence, "evidence_statuses": statuses, "log_compact": compact, "log_last_write": last_write,
+    "log_compact_full": compact_all, "log_materialize_entries": entries, "log_materialize_evidence": evidence, "evidence_statuses": statuses, "log_compact": compact, "log_last_write": last_write,
     "run_history_keys": runs, "log_span_scan": spans, "list_tests": tests, "seed_import_new": seeds, "peer_seed_import": peers,
 }
 _MADE = """m as (select event_id as seq, case event_type when 'signup' then 'upsert' when 'error' then 'expire' when 'view' then 'evidence_add' when 'click' then 'evidence_expire' else 'citation_healed' end as action,
@@ -98,6 +105,12 @@ f as (select evidence_id, 0::bigint as i, null::varchar as own, null::bigint as
   from f join x on x.evidence_id = f.evidence_id and x.i = f.i + 1),
 z as (select evidence_id, own as entry_id, since from (select *, row_number() over (partition by evidence_id order by i desc) as k from f) where k = 1 and own is not null and til = 9223372036854775807)"""
 SQL = {
+    "log_compact_full": f"""with {_MADE}, a as (select seq, case when seq % 11 = 0 then 'insert' when seq % 13 = 0 then 'audit_record' else action end as action, entry_id, is_stale from m),
+        s as (select *, case when action = 'upsert' and not is_stale then 1 when action in ('upsert', 'expire') then 0 end as st from a),
+        g as (select entry_id, max(seq) filter (action = 'upsert') as lu, max(seq) filter (action = 'expire') as lx, coalesce(max(seq) filter (st = 0), -1) as lk, bool_or(action = 'audit_record') as named from s group by 1),
+        kp as (select s.* from s join g using (entry_id) where action in ('insert', 'audit_record') or (lu > lk and ((action = 'upsert' and seq = lu) or (action in ('evidence_add', 'evidence_expire', 'citation_healed') and seq > lk))) or (named and (seq = lu or seq = lx))),
+        u as (select entry_id, max(seq) as at_ from kp where action = 'upsert' group by 1)
+        select seq, action, entry_id, case when action in ('evidence_add', 'evidence_expire', 'citation_healed') then at_ else seq end as "order", case when action in ('evidence_add', 'evidence_expire', 'citation_healed') then seq else -1 end as sub from kp left join u using (entry_id)""",
     "log_materialize_entries": """with e as (select seq, action, id as entry_id, coalesce(ts, '') as ts, path, summary, kind from entry_changes where id is not null and action in ('upsert', 'expire')),
         g as (select entry_id, max(seq) filter (action = 'upsert') as lu, min(seq) filter (action = 'upsert') as fu, max(seq) as ls, max(seq) filter (action = 'expire' and ts <> '') as lx from e group by 1)
         select g.entry_id, l.action = 'expire' as is_stale, f.ts as created_at, case when lx > lu then x.ts else u.ts end as updated_at, u.path, u.summary, u.kind

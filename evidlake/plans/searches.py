@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidlake.operators import search as s
+from evidlake.operators.text_index import TextIndex
 from evidlake.plans import domain as d
-from evidlake.session import spread, table
+from evidlake.session import new_path, passing, spread, table
 
 LIMIT = 10
 #: The fixed text queries: single words, several, a phrase by hyphen, one without any hit.
@@ -142,9 +143,26 @@ def embed_text(spark, sf):
 
 
 def expand(spark, sf):
+    """The first 32 live entries are the seeds, as many as the operator takes."""
     e = d.entries(spark, sf)
-    seeds = e.filter(F.startswith("id", F.lit("0"))).select("id")
-    return s.expanded(e, seeds, d.evidence(spark, sf))
+    return s.expanded(e, e.select("id"), d.evidence(spark, sf))
+
+
+def fts_columns(spark, sf):
+    """Path, text and tags as columns of the index; a phrase lies within one of them."""
+    e = _docs(spark, sf).withColumn("tag_text", F.array_join("tags", " "))
+    q = spark.createDataFrame([(1, "heron atlas"), (2, "note invoice"), (3, "lock-free"), (4, "zzzz")], "qid bigint, query string")
+    return _out(s.ranked(s.full_text(spread(e), q, ("path", "text", "tag_text")).withColumn("score", F.round("score", 9)), ["qid"], "score", LIMIT))
+
+
+def fts_index(spark, sf):
+    """The same as fts_topk from a kept index: all documents, stale ones too, then these are taken out."""
+    x = TextIndex(spark, path := new_path(spark, "index"), ["text"])
+    e = d.doc_entries(spark, sf)
+    x.upsert(spread(e.select("id", "text")))
+    x.remove(e.filter("is_stale").select("id"))
+    passing(spark, path)
+    return _out(s.ranked(x.search(_text_queries(spark)).withColumn("score", F.round("score", 9)), ["qid"], "score", LIMIT))
 
 
 #: The working set of the context queries.
@@ -172,7 +190,7 @@ QUERIES = {
     "semantic_topk": semantic, "semantic_topk_filtered": semantic_filtered, "fts_topk": fts, "fts_only_result": fts_only, "fts_tie_run": fts_ties,
     "cue_lane": cue_lane, "hybrid_rrf": hybrid, "hybrid_recency": recent, "hybrid_mmr": mmr, "federated_search": federated,
     "near_duplicate_probe": near_probe, "missing_embeddings": missing_embeddings, "embedding_health": embedding_health, "embed_text": embed_text,
-    "frontier_expand": expand, "context_candidates": context_ranked, "context_pack": context_packed,
+    "frontier_expand": expand, "fts_columns_topk": fts_columns, "fts_index_topk": fts_index, "context_candidates": context_ranked, "context_pack": context_packed,
 }
 
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -213,7 +231,7 @@ dq as (select doc_id as qid, t[3] || ' ' || t[4] as query, embedding from (selec
 l0 as (select * from (select *, {_RANK} as rank from bm) where rank <= 10),
 sx as (select qid, lpad(v.vec_id::varchar, 10, '0') as id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) as score from dq q cross join embeddings v where v.vec_id in (select doc_id from ld)),
 l1 as (select *, {_RANK} as rank from sx),
-cx as (select qid, lpad((v.vec_id * 7 % 500)::varchar, 10, '0') as id, 'cue ' || label as cue, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) as score from dq q cross join embeddings v),
+cx as (select qid, lpad((v.vec_id * 7 % (select count(*) from embeddings))::varchar, 10, '0') as id, 'cue ' || label as cue, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) as score from dq q cross join embeddings v),
 cb as (select qid, id, cue, score from (select *, row_number() over (partition by qid, id order by score desc, cue) as k from cx where id in (select id from ld)) where k = 1),
 l2 as (select * from (select *, {_RANK} as rank from cb) where rank <= 20),
 lanes as (select qid, id, rank, 0 as lane from l0 union all select qid, id, rank, 1 from l1 union all select qid, id, rank, 2 from l2),
@@ -227,7 +245,12 @@ fl as (select regexp_replace(citation_path, ':\d+-\d+$', '') as f, count(*) as n
 ov as (select entry_id as id, avg((regexp_replace(citation_path, ':\d+-\d+$', '') in (select f from fl))::int::double) as overlap from v where citation_path is not null group by all),
 cc as (select le.id, ceil(bytes / 4)::bigint as n_tokens, coalesce(overlap, 0) as overlap, coalesce(1.0::double / (60 + rank), 0) as fts from le left join ov using (id) left join hits using (id))
 """
+#: Joined columns do here, as no phrase of these queries can begin in one and end in the next.
+_COLS = rf"""{d.SQL_DOC}, {_LIVE}, tq as (select * from (values (1::bigint, 'heron atlas'), (2::bigint, 'note invoice'), (3::bigint, 'lock-free'), (4::bigint, 'zzzz')) x(qid, query)),
+  lc as (select id, concat_ws(' ', path, text, source, doc_type) as text from ld), {_bm25('lc', 'tq')}"""
 SQL = {
+    "fts_columns_topk": f"with {_COLS} select qid, id, round(score, 6) as score, rank from (select *, {_RANK} as rank from bm) where rank <= 10",
+    "fts_index_topk": f"with {_BM} select qid, id, round(score, 6) as score, rank from (select *, {_RANK} as rank from bm) where rank <= 10",
     "semantic_topk": f"{_semantic('true')} select qid, id, round(score, 6) as score, rank from (select *, {_RANK} as rank from x) where rank <= 10",
     "semantic_topk_filtered": f"""{_semantic("lower(d.path) like 'heron-%' and doc_type = 'note'")} select qid, id, round(score, 6) as score, rank from (select *, {_RANK} as rank from x) where rank <= 10""",
     "fts_topk": f"with {_BM} select qid, id, round(score, 6) as score, rank from (select *, {_RANK} as rank from bm) where rank <= 10",
@@ -246,7 +269,7 @@ SQL = {
         from (select label, len(embedding) as dim, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as norm from embeddings) group by label""",
     "embed_text": f"with {d.SQL_ENTRY} select id, md5(concat_ws(' ', path, summary, content)) as full_md5, concat_ws(' ', path, summary, array_to_string(tags, ' ')) as abstraction from e where not is_stale",
     "frontier_expand": rf"""with {d.SQL_ENTRY}, {d.SQL_EVIDENCE}, le as (select *, regexp_extract(path, '^(.*)/', 1) as dir from e where not is_stale),
-        s as (select * from le where id like '0%' order by id limit 32), c as (select distinct entry_id as id, regexp_replace(citation_path, ':[^:]*$', '') as file from v where citation_path is not null),
+        s as (select * from le order by id limit 32), c as (select distinct entry_id as id, regexp_replace(citation_path, ':[^:]*$', '') as file from v where citation_path is not null),
         p as (select id, 'dir' as f from le where dir in (select dir from s)
           union select id, 'tag' from le where list_has_any(tags, (select flatten(list(tags)) from s))
           union select id, 'cue' from le where list_has_any(cues, (select flatten(list(cues)) from s))

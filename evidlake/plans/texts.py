@@ -103,6 +103,19 @@ def provenance(spark, sf):
     return g.provenance(edges.select(F.col("src").alias("start")), edges, known)
 
 
+def provenance_nodes(spark, sf):
+    v = d.evidence(spark, sf).filter("kind = 'derived' and derived_from is not null and entry_id is not null")
+    edges = v.select(F.col("entry_id").alias("src"), F.when(F.startswith("id", F.lit("7")), F.concat(F.lit("gone-"), "derived_from")).otherwise(F.col("derived_from")).alias("dst"))
+    return g.provenance_nodes(edges.select(F.col("src").alias("start")), edges, d.entries(spark, sf).select(F.col("id").alias("node")), 3)
+
+
+def peers_swept(spark, sf):
+    """What stays of peers and graphs when those with a time to live of n_nationkey modulo 3 years are swept, counted."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("src"), F.concat(F.lit("g"), F.col("n_nationkey").cast("string")).alias("slug"), F.when(F.col("n_nationkey") % 4 != 0, (F.col("n_nationkey") % 3 * 365).cast("int")).alias("ttl_days"))
+    kept, graphs = g.swept(g.with_ttl(n, "2025-01-01 00:00:00Z"), n.select("slug"), "2026-01-01")
+    return kept.select("src", "slug", "expires_at").join(graphs, "slug", "left_semi")
+
+
 def _peers(spark, sf):
     n = table(spark, sf, "nation")
     e = lambda a, b: n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * a + b) % 25).alias("dst"), F.concat(F.lit("g"), F.col("n_regionkey").cast("string")).alias("slug"), F.when(F.col("n_nationkey") % 4 == 1, "2025-01-01").when(F.col("n_nationkey") % 4 == 2, "2027-01-01").alias("expires_at"))
@@ -132,7 +145,7 @@ def orphans(spark, sf):
 QUERIES = {
     "paragraphs": paragraphs, "paragraphs_merged": merged, "sentences": sentences, "chunk_documents": chunks, "redact": redact, "excerpt_wrap": excerpts,
     "validate_entries": validation, "text_sizes": sizes, "branch_tokens": branches, "transcript_digest": digests, "compress_paragraphs": compress,
-    "provenance_walk": provenance, "peer_bfs": bfs, "peer_direct": direct, "peer_ttl_live": listed, "orphan_graphs": orphans,
+    "provenance_walk": provenance, "provenance_nodes": provenance_nodes, "peers_sweep": peers_swept, "peer_bfs": bfs, "peer_direct": direct, "peer_ttl_live": listed, "orphan_graphs": orphans,
 }
 _C = f"{d.SQL_ENTRY}, c as (select id, replace(content, chr(13) || chr(10), chr(10)) as content from e where content is not null)"
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -163,6 +176,11 @@ SQL = {
     "provenance_walk": f"""with recursive {_EDGES}, r as (select distinct src as start, src as node from ed union select r.start, ed.dst from r join ed on ed.src = r.node),
         q as (select r.*, e.id as known, exists (select 1 from ed where ed.src = r.node) as up, exists (select 1 from ed where ed.src = r.node and ed.dst = r.start) as back from r left join (select id from e) e on e.id = r.node)
         select start, count(*) as n_nodes, count(*) filter (known is not null and not up) as n_roots, count(*) filter (known is null) as n_dangling, bool_or(back) as cycle from q group by start""",
+    "provenance_nodes": f"""with recursive {_EDGES}, r as (select distinct src as start, src as node, 0 as depth from ed union select r.start, ed.dst, depth + 1 from r join ed on ed.src = r.node where depth < 3),
+        q as (select start, node, min(depth) as depth from r group by 1, 2)
+        select start, node, depth, case when node not in (select id from e) then 'dangling' when node not in (select src from ed) then 'root' when depth = 3 then 'cut' else 'inner' end as state from q""",
+    "peers_sweep": """select n_nationkey as src, 'g' || n_nationkey as slug, x as expires_at from (select *, case when n_nationkey % 4 <> 0 then strftime(date '2025-01-01' + (n_nationkey % 3 * 365)::int, '%Y-%m-%d') end as x from nation)
+        where x is null or x >= '2026-01-01'""",
     "peer_bfs": f"""with recursive {_PEERS}, r as (select n_nationkey as start, n_nationkey as node, 0 as depth from nation where n_nationkey % 5 = 0 union select start, dst, depth + 1 from r join lp on lp.src = node where depth < 3)
         select start, node, min(depth) as depth from r group by 1, 2 having min(depth) > 0""",
     "peer_direct": f"with {_PEERS} select distinct src, dst from lp",
