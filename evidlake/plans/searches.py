@@ -275,5 +275,8 @@ SQL = {
           union select id, 'cue' from le where list_has_any(cues, (select flatten(list(cues)) from s))
           union select id, 'file' from c where file in (select file from c where id in (select id from s)))
         select id, count(*) as facets from p where id not in (select id from s) and id in (select id from le) group by id""",
+    "context_pack": f"""with recursive {_CTX}, o as (select id, n_tokens, round(overlap, 9) as overlap, round(fts, 9) as fts, round(overlap + fts, 9) as score, row_number() over (order by round(overlap + fts, 9) desc, id) as i from cc where overlap + fts > 0),
+        f as (select 0::bigint as i, 4000::bigint as room, false as taken union all select o.i, case when n_tokens <= room then room - n_tokens else room end, n_tokens <= room from f join o on o.i = f.i + 1)
+        select id, n_tokens, overlap, fts, score from o join f using (i) where taken""",
     "context_candidates": f"with {_CTX} select id, n_tokens, round(overlap, 9) as overlap, round(fts, 9) as fts, round(overlap + fts, 9) as score from cc where overlap + fts > 0",
 }

@@ -153,6 +153,7 @@ _LISTED = "list_filter(list_transform({}, lambda p: regexp_replace(p, '^\\s+|\\s
 _SPLIT_P = _LISTED.format(r"string_split(regexp_replace(content, '\n(?:[^\S\n]*\n)+', chr(1), 'g'), chr(1))")
 _SPLIT_S = _LISTED.format(r"string_split(regexp_replace(content, '([.!?])[ \n]+', '\1' || chr(1), 'g'), chr(1))")
 _ESC = lambda s: "'" + s.replace("'", "''") + "'"
+_SEP = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 _REDACTED = "tx"
 for _p in t.SECRETS:
     _REDACTED = f"regexp_replace({_REDACTED}, {_ESC(_p)}, '<REDACTED>', 'g')"
@@ -162,6 +163,14 @@ lp as (select * from p where expires_at is null or expires_at >= '2026-01-01')""
 _EDGES = f"{d.SQL_ENTRY}, {d.SQL_EVIDENCE}, ed as (select distinct entry_id as src, case when id like '7%' then 'gone-' || derived_from else derived_from end as dst from v where kind = 'derived' and derived_from is not null and entry_id is not null)"
 SQL = {
     "paragraphs": f"with {_C}, x as (select id, {_SPLIT_P} as p from c) select id, len(p) as n, md5(array_to_string(p, chr(1))) as md5 from x",
+    # A part's length; a part after one of fewer than 100 bytes joins it with two bytes between.
+    "paragraphs_merged": f"""with {_C}, x as (select id, list_transform({_SPLIT_P}, lambda p: [octet_length(encode(p))::bigint]) as p from c)
+        select id, case when len(p) = 0 then 0 else len(list_reduce(p, lambda a, b: case when a[len(a)] < 100 then list_append(a[:len(a) - 1], a[len(a)] + 2 + b[1]) else list_append(a, b[1]) end)) end as n from x""",
+    "transcript_digest": rf"""with x as (select doc_id, regexp_replace(regexp_replace(text, '\r\n?', chr(10) || chr(10), 'g'), '\n(\w+: )', chr(10) || chr(10) || '\1', 'g') || chr(10) || '---' || chr(10) || 'Bash(ls)' || chr(10) as x
+          from documents where doc_type = 'transcript' and text is not null),
+        p as (select doc_id, x, ({_LISTED.format("string_split(regexp_replace(x, '(?m)^[^\\S\\n]*(?:---)?[^\\S\\n]*$', chr(1), 'g'), chr(1))".replace(chr(92) * 2, chr(92)))})[1:500] as p from x),
+        y as (select *, greatest(len(p) - 3, least(len(p), 3)) as k, array_to_string(list_filter(string_split(x, chr(10)), lambda l: {" or ".join(f"contains(l, {_ESC(m)})" for m in t.DIGEST_MARKS)}), chr(10)) as tools from p)
+        select doc_id, len(p) as n_turns, sha256(concat_ws('|', 's' || doc_id, array_to_string(p[1:3], {_SEP}), array_to_string(p[k + 1:len(p)], {_SEP}), tools)) as hash from y""",
     "sentences": f"with {_C}, x as (select id, {_SPLIT_S} as p from c) select id, len(p) as n, md5(array_to_string(p, chr(1))) as md5 from x",
     "redact": f"with {_C}, x as (select id, content || ' ' || ([{', '.join(_ESC(s) for s in SECRET)}])[instr('0123456789abcdef', id[1]) % {len(SECRET)} + 1] as tx from c), y as (select id, {_REDACTED} as r from x) select id, md5(r) as md5, contains(r, 'REDACTED') as hit from y",
     "excerpt_wrap": f"""with {d.SQL_EVIDENCE}, x as (select id, citation_excerpt || case id[1] when 'a' then '<<END>>' when 'b' then chr(7) when 'c' then '<<<' else '' end as x from v where citation_excerpt is not null)
