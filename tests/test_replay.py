@@ -1,5 +1,6 @@
 """Closed-form replay against a sequential fold over random logs, and the log files."""
 
+import json
 import json
 import random
 
@@ -84,3 +85,43 @@ def test_broken_spans(spark, tmp_path, bad, state):
     (tmp_path / "x.jsonl").write_text("".join(json.dumps(x) + "\n" for x in rows))
     with pytest.raises(log.BrokenLog, match=state):
         log.events(spark, str(tmp_path))
+
+
+def test_a_segment_in_many_ranges(spark, tmp_path):
+    """Offsets and spans are those of a whole read, wherever the file is cut."""
+    rng = random.Random(2)
+    rows = []
+    for k in range(400):
+        if k % 20 == 0:
+            rows.append({"action": "batch_begin", "batch_id": str(k), "n": 10})
+        if k % 20 == 10:
+            rows.append({"action": "batch_commit", "batch_id": str(k - 10), "n": 10})
+        rows.append({"action": "upsert", "table": "entries", "id": f"é{k}" * rng.randrange(1, 9)})
+    data = "".join(json.dumps(r, ensure_ascii=False) + "\n" * rng.choice([1, 1, 2]) for r in rows).encode() + b'{"action": "ups'
+    (tmp_path / "log.jsonl").write_bytes(data)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+        lines = log.lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 3
+        for r in lines.collect():
+            assert data[r.byte_start : r.byte_end].decode().strip() == r.raw and r.torn == (r.byte_end == len(data))
+        s = {r.seq: r for r in log.scan(spark, str(tmp_path)).collect()}
+        got = [r.id for r in log.events(spark, str(tmp_path)).orderBy("seq").collect()]
+        assert got == [r["id"] for r in rows if "id" in r] and len(s) == len(rows)
+        at = sorted(s)[7]
+        assert log.events(spark, str(tmp_path), at).count() == sum(1 for k, r in s.items() if k >= at and r.id)
+        with pytest.raises(log.BrokenLog, match="inside a line"):
+            log.events(spark, str(tmp_path), at + 1)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_writers_never_share_a_number(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    p = str(tmp_path / "log")
+    with ThreadPoolExecutor(8) as pool:
+        names = list(pool.map(lambda k: log.append(p, [{"id": str(k)}], spark if k % 2 else None), range(12)))
+    assert sorted(n.rsplit("/")[-1] for n in names) == [f"{k:012d}.jsonl" for k in range(12)]
+    assert log.events(spark, p).count() == 12
