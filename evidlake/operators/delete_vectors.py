@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidlake.functions.times import instant_us
-from evidlake.session import new_path, passing
+from evidlake.session import names_in, new_path, passing, put_new, text_of
 
 #: Bits of one bitmap, as bitmap_construct_agg has them.
 BLOCK = 32_768
@@ -64,7 +64,7 @@ class DeleteVectorTable:
         self.manifest = {"version": 0, "epoch": -1, "buckets": buckets, "images": [], "index": [], "vectors": []}
         newest = version if version is not None else max(self._versions(), default=0)
         if newest:
-            self.manifest = json.loads(self.spark.sparkContext.wholeTextFiles(self._manifest_path(newest), 1).values().first())
+            self.manifest = json.loads(text_of(self.spark, self._manifest_path(newest)))
 
     @property
     def version(self) -> int:
@@ -77,28 +77,13 @@ class DeleteVectorTable:
     def _manifest_path(self, version: int) -> str:
         return f"{self.path}/manifests/{version:012d}.json"
 
-    def _hadoop(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def _versions(self) -> list[int]:
-        p, fs = self._hadoop(f"{self.path}/manifests")
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_"))]
+        return [int(n.removesuffix(".json")) for n in names_in(self.spark, f"{self.path}/manifests") if n.endswith(".json") and n[0].isdigit()]
 
     def _commit(self, manifest: dict) -> DeleteVectorTable:
         """Puts the manifest in place; fails if another writer made that version."""
-        jvm = self.spark._jvm
-        p, fs = self._hadoop(f"{self.path}/manifests/_{uuid.uuid4().hex}")
-        out = fs.create(p, False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        to, _ = self._hadoop(self._manifest_path(manifest["version"]))
-        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        at = fs.makeQualified(p)
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration()).rename(at, fs.makeQualified(to), none)
+        if not put_new(self.spark, self._manifest_path(manifest["version"]), json.dumps(manifest).encode()):
+            raise FileExistsError(f"version {manifest['version']} of {self.path} exists already")
         nxt = DeleteVectorTable.__new__(DeleteVectorTable)
         nxt.__dict__.update(self.__dict__, manifest=manifest)
         return nxt

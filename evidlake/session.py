@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 import zipfile
@@ -63,8 +64,58 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def passing(spark: SparkSession, path: str) -> None:
     """An existing path of an intermediate table is removed when the driver's JVM ends."""
+    p, fs = file_system(spark, path)
+    fs.deleteOnExit(p)
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's path and the file system it is on."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(p), fs
+
+
+def put_new(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Puts a small file in place as a whole, unless there is one: of several writers exactly one gets True."""
+    p, fs = file_system(spark, path)
+    fs.mkdirs(p.getParent())
+    if fs.getUri().getScheme() == "file":  # whose rename may replace what is there
+        staged = f"{p.getParent().toUri().getPath()}/.{uuid.uuid4().hex}"
+        with open(staged, "wb") as f:
+            f.write(data)
+            f.flush()
+            os.fsync(f.fileno())
+        try:
+            os.link(staged, p.toUri().getPath())
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(staged)
+        return True
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    staged = hadoop.Path(p.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(staged, False)
+    out.write(bytearray(data))
+    out.close()
+    try:
+        hadoop.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(staged, p, spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+    except Exception:
+        if not fs.exists(p):
+            raise
+        fs.delete(staged, False)
+        return False
+    return True
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    p, fs = file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    return spark.sparkContext.wholeTextFiles(path, 1).values().first()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

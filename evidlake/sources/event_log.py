@@ -8,7 +8,6 @@ suffix can be read again.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidlake.operators.blocks import last_before
+from evidlake.session import names_in, put_new
 
 #: Bytes of a segment that one task frames.
 BLOCK = 1 << 24
@@ -116,58 +116,19 @@ def first_unreadable(spark: SparkSession, path: str) -> DataFrame:
     return scan(spark, path).filter("state = 'unreadable'").groupBy("segment").agg(F.min("seq").alias("byte"))
 
 
-def append(path: str, batch: list[dict], spark: SparkSession | None = None) -> str:
+def append(spark: SparkSession, path: str, batch: list[dict]) -> str:
     """One batch as the next segment, framed and published by a rename that replaces nothing.
 
-    Readers see the whole batch or nothing. Of two writers that want the same number one gets the next. With a session
-    the folder may be on any file system it knows, else it is a local one.
+    Readers see the whole batch or nothing. Of two writers that want the same number one gets the next.
     """
     token = uuid.uuid4().hex
     rows = [{"action": "batch_begin", "batch_id": token, "n": len(batch)}, *batch, {"action": "batch_commit", "batch_id": token, "n": len(batch)}]
     data = "".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows).encode()
-    return (_append_hadoop(spark, path, token, data) if spark else _append_local(path, token, data))
+    n = _next(names_in(spark, path))
+    while not put_new(spark, name := f"{path}/{n:012d}.jsonl", data):
+        n += 1
+    return name
 
 
 def _next(names: list[str]) -> int:
     return max((int(n[:12]) + 1 for n in names if n.endswith(".jsonl") and n[:12].isdigit()), default=0)
-
-
-def _append_local(path: str, token: str, data: bytes) -> str:
-    os.makedirs(path, exist_ok=True)
-    with open(staged := f"{path}/.{token}", "wb") as f:
-        f.write(data)
-        f.flush()
-        os.fsync(f.fileno())
-    n = _next(os.listdir(path))
-    while True:
-        try:
-            os.link(staged, name := f"{path}/{n:012d}.jsonl")
-        except FileExistsError:
-            n += 1
-            continue
-        os.unlink(staged)
-        return name
-
-
-def _append_hadoop(spark: SparkSession, path: str, token: str, data: bytes) -> str:
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.getUri().getScheme() == "file":  # whose rename may replace what is there
-        return _append_local(folder.toUri().getPath(), token, data)
-    fs.mkdirs(folder)
-    staged = fs.makeQualified(hadoop.Path(folder, f".{token}"))
-    out = fs.create(staged, False)
-    out.write(bytearray(data))
-    out.close()
-    n = _next([s.getPath().getName() for s in fs.listStatus(folder)])
-    context = hadoop.FileContext.getFileContext(staged.toUri(), spark._jsc.hadoopConfiguration())
-    while True:
-        target = fs.makeQualified(hadoop.Path(folder, f"{n:012d}.jsonl"))
-        try:
-            context.rename(staged, target, spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
-            return target.toString()
-        except Exception:
-            if not fs.exists(target):
-                raise
-            n += 1

@@ -42,10 +42,10 @@ def test_vectors_are_migrated_whole_or_not(spark, tmp_path):
     for bad in ((None,), (bytearray(b"abc"),), (blob(0, 0),), (blob(float("nan"), 1),)):
         with pytest.raises(ValueError):
             w.migrated_vectors(good.unionByName(spark.createDataFrame([("x", *bad)], "id string, blob binary")), str(tmp_path / "v"), 2)
-    assert manifest(str(tmp_path / "v")) == {"version": 0}
+    assert manifest(spark, str(tmp_path / "v")) == {"version": 0}
     assert w.migrated_vectors(good, str(tmp_path / "v"), 2) == 1
     got = {r.id: [round(x, 3) for x in r.embedding] for r in read(spark, str(tmp_path / "v")).collect()}
-    assert got == {"a": [0.6, 0.8], "b": [0, 1], "h": [0, 1]} and manifest(str(tmp_path / "v"))["normalized"]
+    assert got == {"a": [0.6, 0.8], "b": [0, 1], "h": [0, 1]} and manifest(spark, str(tmp_path / "v"))["normalized"]
 
 
 def test_writers(spark):

@@ -61,10 +61,10 @@ def test_compaction_keeps_the_state(spark):
 
 def test_log_files(spark, tmp_path):
     p = str(tmp_path / "log")
-    log.append(p, [{"action": "upsert", "table": "entries", "id": "a"}, {"action": "expire", "table": "entries", "id": "é"}])
-    log.append(p, [{"action": "upsert", "table": "entries", "id": "b"}])
+    log.append(spark, p, [{"action": "upsert", "table": "entries", "id": "a"}, {"action": "expire", "table": "entries", "id": "é"}])
+    log.append(spark, p, [{"action": "upsert", "table": "entries", "id": "b"}])
     assert [x.id for x in log.events(spark, p).orderBy("segment", "seq").collect()] == ["a", "é", "b"]
-    name = log.append(p, [])
+    name = log.append(spark, p, [])
     with open(name, "a") as f:
         f.write(json.dumps({"action": "batch_begin", "batch_id": "x", "n": 1}) + "\n" + json.dumps({"action": "upsert", "id": "c"}) + "\n\n{\"torn")
     assert sorted(x.id for x in log.events(spark, p).collect()) == ["a", "b", "é"]
@@ -122,6 +122,6 @@ def test_writers_never_share_a_number(spark, tmp_path):
 
     p = str(tmp_path / "log")
     with ThreadPoolExecutor(8) as pool:
-        names = list(pool.map(lambda k: log.append(p, [{"id": str(k)}], spark if k % 2 else None), range(12)))
+        names = list(pool.map(lambda k: log.append(spark, p, [{"id": str(k)}]), range(12)))
     assert sorted(n.rsplit("/")[-1] for n in names) == [f"{k:012d}.jsonl" for k in range(12)]
     assert log.events(spark, p).count() == 12
