@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from evidlake.functions.times import instant_us, timestamp_us
 from evidlake.operators.delete_vectors import normalized
+from evidlake.session import written
 
 #: The Bloom filter has at most so many bits (32 MB), whatever the number of keys: with more keys it only
 #: lets more references through to the exact join.
@@ -138,15 +139,22 @@ def orphan_references(refs: DataFrame, feed: DataFrame, evidence: DataFrame) ->
     ev = bloom_bits(F.col("id"), evidence)
     refs = refs.select("table_name", "column_name", "row_id", "key", "at")
     of_entry = F.col("column_name") == "entry_id"
-    entry = refs.filter(of_entry).withColumn("maybe", may_contain(spark, ids, F.col("key")))
-    evid = refs.filter(~of_entry).withColumn("maybe", may_contain(spark, ev, F.col("key")))
-    proven = entry.unionByName(evid).filter(~F.col("maybe")).drop("maybe").withColumn("how", F.lit("bloom"))
-    gone = live_at(entry.filter("maybe").drop("maybe"), changes).filter(~F.col("live")).drop("live")
+    # Tested once and written; the exact step then reads the changes of keys that passed only.
+    tested = written(
+        refs.filter(of_entry).withColumn("maybe", may_contain(spark, ids, F.col("key"))).unionByName(
+            refs.filter(~of_entry).withColumn("maybe", may_contain(spark, ev, F.col("key")))
+        ),
+        "references",
+    )
+    proven = tested.filter(~F.col("maybe")).drop("maybe").withColumn("how", F.lit("bloom"))
+    entry, evid = tested.filter(of_entry & F.col("maybe")).drop("maybe"), tested.filter(~of_entry & F.col("maybe")).drop("maybe")
+    asked = entry.select(F.col("key").alias("id")).distinct()
+    gone = live_at(entry, changes.join(asked, "id", "left_semi")).filter(~F.col("live")).drop("live")
     first = evidence.filter(F.col("id").isNotNull()).groupBy(F.col("id").alias("key")).agg(
         F.min(F.coalesce(instant_us("recorded_at"), F.lit(-(2**62)))).alias("since")
     )
     late = (
-        evid.filter("maybe").drop("maybe").join(first, "key", "left")
+        evid.join(first, "key", "left")
         .filter(F.col("since").isNull() | (F.col("since") > F.col("at")))
         .drop("since")
     )
