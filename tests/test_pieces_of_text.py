@@ -48,7 +48,7 @@ def test_chunks():
 
 def test_citations(spark):
     p = values(spark, c.parsed, ["a/b", "a:1-5", "a:5-1", "a:x", "a:b:0-3", None])
-    assert [tuple(x) for x in p] == [("a/b", None, None, None), ("a", 1, 5, None), (None, None, None, "malformed_range"), (None, None, None, "malformed_range"), ("a:b", 0, 3, None), (None, None, None, "missing_path")]
+    assert [tuple(x) for x in p] == [("a/b", None, None, None), ("a", 1, 5, None), (None, None, None, "malformed_citation"), (None, None, None, "malformed_citation"), ("a:b", 0, 3, None), (None, None, None, "missing_citation_path")]
     assert values(spark, c.escapes, ["a/../b", "../a", "/a", "a/../../b", "./a", "a"]) == [False, True, True, True, False, False]
     assert values(spark, c.bare_hash, ["sha256:AB", "cd"]) == ["ab", "cd"]
 

@@ -34,7 +34,7 @@ def test_snapshots(spark, tmp_path):
     assert (old.count(), s.read(spark, p).count(), s.read(spark, p, 1).count()) == (3, 5, 3)
     spark.range(9).write.parquet(p + "/v3")  # never published
     assert s.read(spark, p).count() == 5
-    assert s.vintage_warning(p, "abstraction") and s.vintage_warning(p, "full") is None
+    assert s.vintage_warning(spark, p, "abstraction") and s.vintage_warning(spark, p, "full") is None
 
 
 def test_add_replaces_what_is_at_its_path(spark):
