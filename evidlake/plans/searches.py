@@ -248,7 +248,23 @@ cc as (select le.id, ceil(bytes / 4)::bigint as n_tokens, coalesce(overlap, 0) a
 #: Joined columns do here, as no phrase of these queries can begin in one and end in the next.
 _COLS = rf"""{d.SQL_DOC}, {_LIVE}, tq as (select * from (values (1::bigint, 'heron atlas'), (2::bigint, 'note invoice'), (3::bigint, 'lock-free'), (4::bigint, 'zzzz')) x(qid, query)),
   lc as (select id, concat_ws(' ', path, text, source, doc_type) as text from ld), {_bm25('lc', 'tq')}"""
+
+
+def _mmr() -> str:
+    """The greedy choice, one step after the other: each takes the row that is worth the most beside those taken before."""
+    out = f"""{_LANES}, po as (select qid, id, score, max(score) over (partition by qid) as top, rank, embedding::double[] as v from (select *, {_RANK} as rank from fs) left join embeddings on lpad(vec_id::varchar, 10, '0') = id where rank <= 20),
+si as (select a.qid, a.id as a, b.id as b, coalesce(list_cosine_similarity(a.v, b.v), 0) as sim from po a join po b on a.qid = b.qid),
+c1 as (select qid, id, score, 1 as rank from po where rank = 1)"""
+    for k in range(2, LIMIT + 1):
+        out += f""",
+n{k} as (select po.qid, po.id, po.score, 0.5 * po.score / top - 0.5 * greatest(0, max(sim)) as worth from po join c{k - 1} c on c.qid = po.qid join si on si.qid = po.qid and si.a = po.id and si.b = c.id
+  where not exists (select 1 from c{k - 1} x where x.qid = po.qid and x.id = po.id) group by po.qid, po.id, po.score, top),
+c{k} as materialized (select * from c{k - 1} union all select qid, id, score, {k} from (select *, row_number() over (partition by qid order by worth desc, score desc, id) as r from n{k}) where r = 1)"""
+    return f"with {out} select qid, id, round(score, 9) as score, rank::bigint as rank from c{LIMIT}"
+
+
 SQL = {
+    "hybrid_mmr": _mmr(),
     "fts_columns_topk": f"with {_COLS} select qid, id, round(score, 6) as score, rank from (select *, {_RANK} as rank from bm) where rank <= 10",
     "fts_index_topk": f"with {_BM} select qid, id, round(score, 6) as score, rank from (select *, {_RANK} as rank from bm) where rank <= 10",
     "semantic_topk": f"{_semantic('true')} select qid, id, round(score, 6) as score, rank from (select *, {_RANK} as rank from x) where rank <= 10",
