@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidlake.functions import citations as c
+from evidlake.session import written
 
 #: Evidence rows per entry in a result.
 CAP = 200
@@ -36,17 +37,17 @@ EXCLUDED = (".git", "target", "node_modules", ".state", "agent-kb")
 NEVER, FILE_ONLY, REPO = "never", "file_only", "file_then_repo"
 
 
-def verified(evidence: DataFrame, files: DataFrame) -> DataFrame:
+def verified(evidence: DataFrame, files: DataFrame, also: dict[str, Column] | None = None) -> DataFrame:
     """evidence (id, entry_id, kind, citation_path, citation_hash) against files (file, content) -> status, reason.
 
     The first reason that holds: missing_citation_path, malformed_citation, path_escape, symlink_path_rejected,
     file_missing, read_error, not_code_kind, file_too_large, range_out_of_bounds, range_too_large, hash_mismatch; none if
     verified. Every file is joined once, however many rows cite it. files may have boolean columns ``symlink`` (it or a
-    folder above it is a link) and ``unreadable``.
+    folder above it is a link) and ``unreadable``. ``also`` names further columns of the cited file.
     """
     has = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c) if c in files.columns else F.lit(False).alias(c)
     e = evidence.withColumn("p", c.parsed(F.col("citation_path"))).select("*", "p.file", "p.start", "p.stop", F.col("p.reason").alias("bad")).drop("p")
-    j = e.join(files.select("file", "content", F.lit(True).alias("there"), has("symlink"), has("unreadable")), "file", "left")
+    j = e.join(files.select("file", "content", F.lit(True).alias("there"), has("symlink"), has("unreadable"), *(x.alias(n) for n, x in (also or {}).items())), "file", "left")
     part = c.sliced(F.col("content"), F.col("start"), F.col("stop"))
     same = F.sha2(part, 256) == c.bare_hash(F.col("citation_hash"))
     reason = (
@@ -115,6 +116,18 @@ def found_in(excerpts: DataFrame, files: DataFrame, block: int = 2000) -> DataFr
     return hits
 
 
+def _found_in_own(v: DataFrame) -> DataFrame:
+    """Verified rows with the cited file's text: n is 1 or 2 (more than one) where the excerpt is in it, ``at`` its first
+    place. Each row is looked at once, next to its file; nothing goes out to other files."""
+    x = F.col("citation_excerpt")
+    v = v.withColumn("_at", F.when(F.col("able"), F.nullif(F.instr("_text", x), F.lit(0))))
+    more = F.instr(F.substr("_text", F.col("_at") + 1), x) > 0
+    start = F.octet_length(F.substr("_text", F.lit(1), F.col("_at") - 1)).cast("bigint")
+    found = F.col("_at").isNotNull()
+    v = v.withColumns({"n": F.when(found, F.when(more, 2).otherwise(1)), "at": F.when(found, F.struct("file", start.alias("start")))})
+    return v.drop("_text", "_at")
+
+
 def relocations(evidence: DataFrame, files: DataFrame, policy: str = REPO, block: int = 2000) -> DataFrame:
     """Verification with a search for what moved: evidence (id, entry_id, kind, citation_path, citation_hash,
     citation_excerpt) against files (file, content, text) -> id, entry_id, citation_path, citation_hash, status, reason, new_path.
@@ -126,20 +139,22 @@ def relocations(evidence: DataFrame, files: DataFrame, policy: str = REPO, block
     """
     if policy not in (NEVER, FILE_ONLY, REPO):
         raise ValueError(f"policy must be {NEVER}, {FILE_ONLY} or {REPO}")
-    v = verified(evidence, files)
     keep = ["id", "entry_id", "citation_path", "citation_hash", "status", "reason"]
     if policy == NEVER:
-        return v.select(*keep, F.lit(None).cast("string").alias("new_path"))
+        return verified(evidence, files).select(*keep, F.lit(None).cast("string").alias("new_path"))
+    size = F.length("content").cast("bigint")
+    v = verified(evidence, files, {"_text": F.col("text"), "size": size} if policy == FILE_ONLY else None)
     v = v.withColumn("look", F.coalesce(F.col("reason").isin("hash_mismatch", "range_out_of_bounds", "file_too_large", "range_too_large", "read_error"), F.lit(False)))
     strong = F.coalesce(movable(F.col("citation_excerpt")), F.lit(False))
     v = v.withColumn("able", F.col("look") & strong)
-    hits = found_in(v.filter("able").select("id", F.col("citation_excerpt").alias("excerpt")).distinct(), files, block)
-    hits = hits.join(v.filter("able").select("id", F.col("file").alias("cited")).distinct(), "id")
-    own = F.col("file") == F.col("cited")
-    allowed = own if policy == FILE_ONLY else own | ~F.arrays_overlap(F.split("file", "/"), F.array(*map(F.lit, EXCLUDED)))
-    at = F.min(F.struct("file", "start"))
-    n = hits.filter(allowed).groupBy("id").agg(F.count("*").alias("n"), at.alias("at"))
-    j = v.join(n, "id", "left").join(files.select(F.col("file").alias("_f"), F.length("content").cast("bigint").alias("size")), F.col("at.file") == F.col("_f"), "left")
+    if policy == FILE_ONLY:
+        j = _found_in_own(v)
+    else:
+        hits = found_in(v.filter("able").select("id", F.col("citation_excerpt").alias("excerpt")).distinct(), files, block)
+        hits = hits.join(v.filter("able").select("id", F.col("file").alias("cited")).distinct(), "id")
+        allowed = (F.col("file") == F.col("cited")) | ~F.arrays_overlap(F.split("file", "/"), F.array(*map(F.lit, EXCLUDED)))
+        n = hits.filter(allowed).groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("file", "start")).alias("at"))
+        j = v.join(n, "id", "left").join(files.select(F.col("file").alias("_f"), size.alias("size")), F.col("at.file") == F.col("_f"), "left")
     stop = F.col("at.start") + F.col("stop") - F.col("start")
     path = c.formatted(F.col("at.file"), F.when(F.col("start").isNotNull(), F.col("at.start")), stop)
     why = (
@@ -249,6 +264,7 @@ def confirmed_heals(planned: DataFrame, evidence: DataFrame, entries: DataFrame,
     entry lives, and a fresh search leads to the same new path. Only the path changes, the hash stays."""
     live = entries.filter(~F.coalesce("is_stale", F.lit(False))).select(F.col("id").alias("entry_id"))
     plan = planned.filter("status = 'relocated'").select("id", "entry_id", F.col("citation_path").alias("_old"), F.col("new_path").alias("_new"))
+    plan = written(plan, "planned")  # read twice; paths only
     now = evidence.join(plan, ["id", "entry_id"], "left_semi").join(live, "entry_id", "left_semi")
     again = relocations(now, files, policy).filter("status = 'relocated'").join(plan, ["id", "entry_id"])
     return heal_events(again.filter("citation_path = _old and new_path = _new"), ts)

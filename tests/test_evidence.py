@@ -94,6 +94,34 @@ def test_relocation_policies(spark):
         ev.searched(seen, e, f, 101)
 
 
+def test_cited_files_are_read_once_however_many_excerpts(spark):
+    part = "é\n" * 22 + "é"
+    texts = {f"f{i:02d}.md": ["ö\n" * i + part, part, "ö" + part + "\né", f"none {i}"][i % 4] for i in range(40)}
+    f = spark.createDataFrame([(n, t, t.encode()) for n, t in texts.items()], "file string, text string, content binary")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for df in batches:
+            reads.add(len(df))
+            yield df
+
+    e = spark.createDataFrame([(f"v{n}", "e", "code", f"{n}:0-9", "00", part) for n in texts], "id string, entry_id string, kind string, citation_path string, citation_hash string, citation_excerpt string")
+    plan = ev.relocations(e, f.mapInPandas(counted, f.schema), ev.FILE_ONLY, block=4)
+    want = {}
+    for n, t in texts.items():
+        at = ev.occurrences(t, part)
+        start = len(t[: at[0]].encode()) if at else 0
+        why = "no_candidate" if not at else "non_unique" if len(at) > 1 else "range_out_of_bounds" if start + 9 > len(t.encode()) else None if start else "hash_mismatch"
+        want[f"v{n}"] = (why, None if why else f"{n}:{start}-{start + 9}")
+    assert {r.id: (r.reason, r.new_path) for r in plan.collect()} == want
+    assert {w for w, _ in want.values()} == {None, "no_candidate", "non_unique", "hash_mismatch"}
+    assert reads.value <= len(texts)
+    entries = spark.createDataFrame([("e", False)], "id string, is_stale boolean")
+    heals = ev.confirmed_heals(plan, e, entries, f.mapInPandas(counted, f.schema), "t", ev.FILE_ONLY)
+    assert {r.evidence_id: r.new_path for r in heals.collect()} == {i: p for i, (_, p) in want.items() if p}
+    assert reads.value <= 4 * len(texts)
+
+
 def test_every_order_is_an_entry(spark, sf):
     from evidlake.plans import evidences
     from evidlake.session import table
