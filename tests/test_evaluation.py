@@ -52,3 +52,7 @@ def test_compare_writes_no_table_of_all_hits(spark, asked):
 def test_eval_writes_no_table_of_all_hits(spark, asked):
     got = {r.qid: (r.recall, r.rr) for r in result(spark, audits.evaluation, asked)}
     assert got == {c: (1.0, round(1 / (c % 20 + 1), 6)) if c % 20 < 10 else (0.0, 0.0) for c in range(N)}
+
+
+def test_metrics_write_no_table_of_all_hits(spark, asked):
+    assert [tuple(r) for r in result(spark, audits.metrics, asked)] == [(N, 0.5, 0.1464)]
