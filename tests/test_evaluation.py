@@ -45,6 +45,17 @@ def test_first_by_text_is_the_ranked_full_text(spark):
         assert rows(first_by_text(d, q, k, ("a", "b"))) == want == rows(first_by_text(d, q, k, ("a", "b"), block=2))
 
 
+def test_texts_are_read_once_whatever_the_blocks(spark):
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: read.add(1) or x, "string").asNondeterministic()
+    docs = spark.createDataFrame([(f"{i:02d}", "red blue" + " x" * i) for i in range(50)], "id string, text string")
+    q = spark.createDataFrame([(0, "red"), (1, "blue"), (2, "x"), (3, "red-blue"), (4, "x red"), (5, "blue x")], "qid int, query string")
+    rows = lambda df: sorted((r.qid, r.rank, r.id, r.score) for r in df.collect())
+    want = rows(s.ranked(s.full_text(docs, q).withColumn("score", F.round("score", 9)), ["qid"], "score", 3))
+    assert rows(first_by_text(docs.withColumn("text", seen("text")), q, 3, block=1)) == want
+    assert read.value == 50
+
+
 def test_compare_writes_no_table_of_all_hits(spark, asked):
     assert [tuple(r) for r in result(spark, audits.compare, asked)] == [(N, 135, 0, "SIGNIFICANT")]
 
