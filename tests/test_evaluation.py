@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidlake.operators import search as s
+from evidlake.operators import text_first
 from evidlake.operators.text_first import first_by_text
 from evidlake.plans import audits
-from evidlake.session import shared_dir
+from evidlake.session import shared_dir, written
 
 N = 300
 
@@ -56,6 +57,24 @@ def test_texts_are_read_once_whatever_the_blocks(spark):
     assert read.value == 50
 
 
+def test_rows_of_the_tasks_follow_no_number_of_texts(spark, monkeypatch):
+    """Texts in 100 files, each a split of its own: not each gives its first k of every query."""
+    docs = spark.createDataFrame([(f"{i:03d}", "red blue" + " x" * i) for i in range(N)], "id string, text string")
+    q = spark.createDataFrame([(0, "red"), (1, "blue"), (2, "blue red")], "qid int, query string")
+    rows = lambda df: sorted((r.qid, r.rank, r.id, r.score) for r in df.collect())
+    want = rows(s.ranked(s.full_text(docs, q).withColumn("score", F.round("score", 9)), ["qid"], "score", 2))
+    given = []
+    monkeypatch.setattr(text_first, "TASKS", 4)
+    monkeypatch.setattr(text_first, "ranked", lambda df, *a: given.append(df.count()) or s.ranked(df, *a))
+    monkeypatch.setattr(text_first, "written", lambda df, name: written(df.repartition(100) if name == "counted" else df, name))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert rows(first_by_text(docs, q, 2)) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(given) == 1 and given[0] <= spark.sparkContext.defaultParallelism * 2 * 3
+
+
 def test_compare_writes_no_table_of_all_hits(spark, asked):
     assert [tuple(r) for r in result(spark, audits.compare, asked)] == [(N, 135, 0, "SIGNIFICANT")]
 
